@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, toxicity, winnow
+from . import decontaminate, mixing, quality, toxicity, winnow
 from .tables import fold, held_out, read
 
 
@@ -34,6 +34,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document repeated to its source's target rate, globally shuffled."""
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", F.round("rate", 6).alias("rate"), "replica")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of every document with the benchmark's windows of ten words."""
     found = decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -51,7 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
     "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.oracle("d.doc_id, d.text, d.lang, d.source, d.n_chars, round(r.rate, 6) AS rate, replica", "documents"),
+}
