@@ -140,6 +140,14 @@ def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix64(acc)
 
 
+def gram_hashes_rows(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of a matrix of hashes."""
+    acc = rows[:, 0].copy()
+    for j in range(1, rows.shape[1]):
+        acc = acc * U64(_BASE) + rows[:, j]
+    return mix64(acc)
+
+
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive keys, by doubling."""
     out, have = keys, 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, toxicity, winnow
+from . import decontaminate, mixing, near_dup, quality, toxicity, winnow
 from .tables import fold, held_out, read
 
 
@@ -25,6 +25,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.neighbours(read(spark, sf_dir, "documents"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets overlap by 85 % or more."""
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), 85)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted: toxicity of every document."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -55,6 +60,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
+    "op4_near_dup": op4_near_dup,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
