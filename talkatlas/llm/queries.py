@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, quality, toxicity, winnow
+from . import decontaminate, mixing, near_dup, quality, repeats, toxicity, winnow
 from .tables import fold, held_out, read
 
 
@@ -57,6 +57,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later occurrences of windows of twenty words."""
+    found = repeats.find_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
