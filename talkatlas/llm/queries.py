@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, quality, repeats, toxicity, winnow
+from . import decontaminate, lm_score, mixing, near_dup, quality, repeats, toxicity, winnow
 from .tables import fold, held_out, read
 
 
@@ -25,6 +25,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.neighbours(read(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the subword lattice model, and the word unigram base."""
+    return lm_score.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets overlap by 85 % or more."""
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), 85)
@@ -66,6 +71,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
+    "op3_lm_score": op3_lm_score,
     "op4_near_dup": op4_near_dup,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
