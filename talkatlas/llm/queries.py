@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, mixing, near_dup, quality, repeats, toxicity, winnow
+from . import decontaminate, line_dedup, lm_score, mixing, near_dup, pii, quality, repeats, toxicity, winnow
 from .tables import fold, held_out, read
 
 
@@ -62,6 +62,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines similar to an earlier line."""
+    return line_dedup.line_report(read(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, and all spans."""
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without later occurrences of windows of twenty words."""
     found = repeats.find_repeats(read(spark, sf_dir, "documents"))
@@ -76,9 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
     "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": line_dedup.oracle("documents"),
     "op6_mixing": mixing.oracle("d.doc_id, d.text, d.lang, d.source, d.n_chars, round(r.rate, 6) AS rate, replica", "documents"),
 }
