@@ -38,7 +38,7 @@ from .tables import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DISCOUNT = 0.75
-EM_ROUNDS = 3
+EM_ROUNDS = 2
 _LOWER = bytes(i + 32 if 65 <= i < 91 else i for i in range(256))
 _COLS = ["kind", "chunk", "doc_id", "held_out", "n_tokens", "codes", "word", "idx", "n_train"]
 
@@ -62,7 +62,7 @@ def _cut(docs: DataFrame) -> DataFrame:
         for batch in batches:
             whole, offs = K.text_buffer(batch.column(1))
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for r0, r1 in K.doc_blocks(offs, 32 << 20):
+            for r0, r1 in K.doc_blocks(offs, 16 << 20):
                 serial += 1
                 buf, own = whole[offs[r0] : offs[r1]], offs[r0 : r1 + 1] - offs[r0]
                 starts, ends, at = K.word_spans(buf, own, K.SPACED)
