@@ -3,21 +3,23 @@
 A window is `size` consecutive words of one document. All occurrences of a window
 but the first (smallest doc_id, then earliest start) are removed.
 
+0. Copies. Of equal texts (two 64-bit hashes) the first stands for all; of the others
+   nothing is left, if they have a window at all.
 1. Screen. Every window has an anchor, the GRAM words inside it with the smallest
-   hash; equal windows have equal anchors. Anchors are counted over all documents
-   (about two for every 16 words, aggregated before the shuffle). A window can recur
-   only if its anchor does, so documents without a recurring anchor are finished.
-2. Confirm. Runs of windows with a recurring anchor become segments, keyed by the
-   anchor. Equal segments are aggregated first, then their windows are counted by
-   their words (not by hash): those that occur twice are the recurring passages,
-   each with its first occurrence.
-3. Locate. Passages are dealt by anchor to shards of about SHARD windows; each
-   shard's Aho-Corasick automaton over words (pyahocorasick) is compiled and all
-   segments with the shard's anchors stream through it. Anchors with many segments are
-   salted over several shards. What an automaton finds anywhere but at the first
-   occurrence is removed.
-
-A task holds one shard's automaton and one batch of rows. Intermediate tables are
+   hash; equal windows have equal anchors. Anchors are aggregated over all documents
+   (about two for every 16 words). A window can recur only if its anchor stands in
+   two different texts, or twice in one, so texts without such an anchor are finished.
+2. Confirm. Runs of windows with a recurring anchor become segments, dealt by
+   anchor to shards of about SHARD segments. A shard enters all windows into a trie over
+   words, which counts them and keeps their first occurrence: a recurring passage is
+   confirmed by its words, not by a hash.
+3. Locate. The trie is compiled to the shard's Aho-Corasick automaton (pyahocorasick)
+   and all the shard's segments stream through it. What is found anywhere but at the
+   first occurrence is removed. The segments of an anchor with more than MOST of them
+   are cut to windows; a window's rows are counted before the shuffle, and salted over
+   shards that each get its count and first occurrence.
+
+A task holds one shard and one batch of rows. Intermediate tables are
 written to the shared folder.
 
 Defined results: null text has no words; texts shorter than a window stay whole;
@@ -42,10 +44,11 @@ from .scratch import store
 
 SIZE = 20
 GRAM = 6
-#: Windows in one automaton (20 trie nodes each), on average.
-SHARD = 8000
-#: Segments of one anchor that go to one shard.
-SALT_ROWS = 20_000
+#: Segments in one shard, on average (each has about six windows of 20 trie nodes).
+SHARD = 2000
+#: Segments of one anchor that go to one shard; beyond, they are cut to windows, which then
+#: are the keys, and a window's rows are counted before the shuffle and salted.
+MOST = 4000
 _RUN = 64
 _POS = K.U64((1 << 24) - 1)
 #: A null id sorts first.
@@ -85,72 +88,91 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 def _keyed(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", key.alias("k"), F.xxhash64("text").alias("th"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", key.alias("k"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(2), "text").alias("th2"))
 
 
-def recurring_anchors(docs: DataFrame, size: int) -> DataFrame:
-    """(h) of the anchors that stand at two places or more."""
+def _pairs(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(anchor hash, row) of every anchor's place in a batch of (text, th)."""
+    for r0, _, _, _, _, hashes, at in _blocks(batch.column(0)):
+        place = np.unique(anchors(hashes, at, size)[1])
+        yield K.gram_hashes(hashes, GRAM)[place].view(np.int64), np.searchsorted(at, place, "right") - 1 + r0
+
+
+def recurring_anchors(keyed: DataFrame, size: int) -> DataFrame:
+    """(h) of the anchors that stand in two different texts, or twice in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, K.U64)]
-            for _, _, _, _, _, hashes, at in _blocks(batch.column(0)):
-                _, place = anchors(hashes, at, size)
-                found.append(K.gram_hashes(hashes, GRAM)[np.unique(place)])
-            h, c = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+            ths = batch.column(1).to_numpy()
+            for h, row in _pairs(batch, size):
+                if not len(h):
+                    continue
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
+                same = h[1:] == h[:-1]
+                first = np.flatnonzero(np.concatenate([[True], ~same]))
+                twice = np.concatenate([[False], same & (row[1:] == row[:-1])]).astype(np.int32)
+                th = ths[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[first]), pa.array(np.minimum.reduceat(th, first)), pa.array(np.maximum.reduceat(th, first)), pa.array(np.maximum.reduceat(twice, first))],
+                    names=["h", "low", "high", "twice"],
+                )
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
+    found = keyed.select("text", "th").mapInArrow(run, "h long, low long, high long, twice int")
+    return found.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("twice").alias("twice")).where("low <> high or twice > 0").select("h")
 
 
 def _anchor_rows(keyed: DataFrame, size: int) -> DataFrame:
-    """(h, k, th): the distinct anchors of each document."""
+    """(h, th): the distinct anchors of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, ths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for r0, _, _, _, _, hashes, at in _blocks(batch.column(0)):
-                _, place = anchors(hashes, at, size)
-                place = np.unique(place)
-                row = np.searchsorted(at, place, "right") - 1
-                h = K.gram_hashes(hashes, GRAM)[place].view(np.int64)
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
+            ths = batch.column(1).to_numpy()
+            for h, row in _pairs(batch, size):
+                th = ths[row]
+                order = np.lexsort((h, th))
+                h, th = h[order], th[order]
                 new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[new], row[new] + r0
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ks[row]), pa.array(ths[row])], names=["h", "k", "th"])
+                new[1:] = (h[1:] != h[:-1]) | (th[1:] != th[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(th[new])], names=["h", "th"])
 
-    return keyed.select("text", "k", "th").mapInArrow(run, "h long, k long, th long")
+    return keyed.select("text", "th").mapInArrow(run, "h long, th long")
 
 
-_SPLIT = "kind int, doc_id {id}, k long, th long, n_words long, kept string, text string, h long, start long"
+_SPLIT = "kind int, doc_id {id}, k long, th long, n_words long, n_removed long, kept string, text string, h long, start long"
 
 
 def _split(keyed: DataFrame, size: int, whole_text: bool) -> DataFrame:
     """kind 0: finished documents; 1: documents with segments; 2: their segments (text: words joined by one space)."""
     recurring = recurring_anchors(keyed, size)
-    marked = _anchor_rows(keyed, size).join(recurring, "h").groupBy("k", "th").agg(F.collect_set("h").alias("hs"))
-    joined = keyed.join(marked, ["k", "th"], "left").select("doc_id", "text", "k", "th", "hs")
+    marked = _anchor_rows(keyed, size).join(recurring, "h").groupBy("th").agg(F.collect_set("h").alias("hs"))
+    copies = keyed.groupBy("th", "th2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    copies = copies.groupBy("th").agg(F.collect_list(F.struct("th2", "first")).alias("copies"))
+    joined = keyed.join(marked.join(copies, "th", "full"), "th", "left")
+    first = F.get(F.filter("copies", lambda c: c["th2"] == F.col("th2")), 0)["first"]
+    joined = joined.select("doc_id", "text", "k", "th", "hs", first.alias("first"))
     schema = _SPLIT.format(id=keyed.schema["doc_id"].dataType.simpleString())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, hs = batch.column(0), batch.column(1), batch.column(4)
+            ids, texts, hs, firsts = batch.column(0), batch.column(1), batch.column(4), batch.column(5).to_pylist()
             ks, ths = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for r0, r1, buf, starts, ends, hashes, at in _blocks(texts):
                 rows = r1 - r0
-                kind, kept = [0] * rows, [None] * rows
+                kind, kept, removed = [0] * rows, [None] * rows, [0] * rows
                 seg: list[tuple[int, int, int, str]] = []
                 window, place = anchors(hashes, at, size)
                 gram = K.gram_hashes(hashes, GRAM).view(np.int64)
                 cut = np.searchsorted(window, at)
                 for i in range(rows):
                     a, b = int(at[i]), int(at[i + 1])
-                    words = None
                     marked = hs[r0 + i]
-                    if marked.is_valid and cut[i + 1] > cut[i]:
+                    copy = firsts[r0 + i] is not None and firsts[r0 + i] != ks[r0 + i] and b - a >= size
+                    if copy:  # of an earlier document: every window recurs
+                        removed[i], a = b - a, b
+                    elif marked.is_valid and cut[i + 1] > cut[i]:
                         own, h = window[cut[i] : cut[i + 1]], gram[place[cut[i] : cut[i + 1]]]
                         hit = np.isin(h, marked.values.to_numpy(zero_copy_only=False))
                         if hit.any():
@@ -172,7 +194,7 @@ def _split(keyed: DataFrame, size: int, whole_text: bool) -> DataFrame:
                 suspects = texts.take(pa.array([r0 + i if x else None for i, x in enumerate(kind)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(kind, pa.int32()), ids.slice(r0, rows), pa.array(ks[r0:r1]), pa.array(ths[r0:r1]), pa.array(at[1:] - at[:-1], pa.int64()), pa.array(kept, pa.string()),
+                        pa.array(kind, pa.int32()), ids.slice(r0, rows), pa.array(ks[r0:r1]), pa.array(ths[r0:r1]), pa.array(at[1:] - at[:-1], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
                         suspects, none(pa.int64()), none(pa.int64()),
                     ],
                     names=names,
@@ -181,7 +203,7 @@ def _split(keyed: DataFrame, size: int, whole_text: bool) -> DataFrame:
                     m = len(seg)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([2] * m, pa.int32()), pa.nulls(m, ids.type), pa.array(ks[at_row]), pa.array(ths[at_row]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()),
+                            pa.array([2] * m, pa.int32()), pa.nulls(m, ids.type), pa.array(ks[at_row]), pa.array(ths[at_row]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()),
                             pa.array([s[3] for s in seg], pa.string()), pa.array([s[1] for s in seg], pa.int64()), pa.array([s[2] for s in seg], pa.int64()),
                         ],
                         names=names,
@@ -190,63 +212,99 @@ def _split(keyed: DataFrame, size: int, whole_text: bool) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def _passages(segments: DataFrame, size: int) -> DataFrame:
-    """(h, text, k, p): every window that occurs twice or more, with its first occurrence."""
-    each = segments.groupBy("h", "text").agg(F.min(F.struct("k", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
-    words = F.split("text", " ")
-    windows = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("words", i + 1, size), " ").alias("w")))
-    # dealt by anchor once: the windows are then counted where their segments lie
-    spread = each.repartition("h").withColumn("words", words).select("h", "first", "c", F.explode(windows).alias("x"))
-    found = spread.groupBy("h", F.col("x.w").alias("text")).agg(F.min(F.struct(F.col("first.k").alias("k"), (F.col("first.start") + F.col("x.i")).alias("p"))).alias("f"), F.sum("c").alias("c"))
-    return found.where("c > 1").select("h", "text", "f.k", "f.p")
+def _single_windows(rows: DataFrame, size: int) -> DataFrame:
+    """Segments cut to their windows, each under a key of its own."""
+    rows = rows.withColumn("words", F.explode(F.array(F.split("text", " "))))
+    cut = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("words", i + 1, size), " ").alias("w")))
+    rows = rows.withColumn("x", F.explode(cut)).drop("words")
+    return rows.withColumn("start", F.col("start") + F.col("x.i")).withColumn("text", F.col("x.w")).withColumn("h", F.xxhash64("h", "text")).drop("x")
 
 
-def _locate(segments: DataFrame, passages: DataFrame, size: int) -> DataFrame:
+def _locate(segments: DataFrame, size: int, most: int = MOST) -> DataFrame:
     """(k, th, a, b): words [a, b) of a document that automata found to repeat an earlier passage."""
     spark = segments.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = parts * max(1, -(-passages.count() // (parts * SHARD)))
-    hot = segments.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
-    salts = F.coalesce("salts", F.lit(1))
+    texts = segments.select("h", "k", "th", "start", "text")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """Distinct segments with first occurrence and count, for each of the anchor's salts."""
+        each = rows.groupBy("h", "text", "salts").agg(F.min(F.struct("k", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
+        return each.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "first.k", F.col("c").alias("th"), "first.start", "text")
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return rows.select("h", F.pmod(F.xxhash64("k", "start"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "k", "th", "start", "text")
+
+    sizes = segments.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    hot = store(sizes.where(f"c > {most}").select("h"), "hot")
+    total = segments.count()
+    # ordinary anchors: their segments are counted and located in one shard
+    everything = texts.join(hot, "h", "left_anti") if not hot.isEmpty() else texts
+    everything = everything.select("h", F.lit(0).alias("salt"), F.lit(2).alias("kind"), "k", "th", "start", "text")
+    if not hot.isEmpty():
+        # hot anchors: windows become the keys, and the rows of hot windows are salted
+        windows = store(_single_windows(texts.join(hot, "h", "left_semi"), size), "windows")
+        salts = windows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts"))
+        windows = windows.join(salts, "h")
+        everything = everything.unionByName(counted(windows)).unionByName(salted(windows))
+    shards = parts * max(1, -(-total // (parts * SHARD)))
     shard = F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).cast("int")
-    patterns = passages.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    texts = segments.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("k", "start"), salts).cast("int"))
-    both = patterns.select(shard.alias("shard"), F.lit(0).alias("kind"), "k", F.lit(None).cast("long").alias("th"), "p", "text").unionByName(
-        texts.select(shard.alias("shard"), F.lit(1).alias("kind"), "k", "th", F.col("start").alias("p"), "text")
-    )
+    rows = everything.select(shard.alias("shard"), "kind", "k", "th", "start", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, automaton, ready = None, {}, None, False
+        now, number, automaton, held = None, {}, None, []
+        out: list[tuple[int, int, int, int]] = []
+
+        def enter(own: tuple, k: int, p: int, count: int) -> None:
+            for i in range(len(own) - size + 1):
+                window = own[i : i + size]
+                seen = automaton.get(window, None)
+                if seen is None:
+                    automaton.add_word(window, [count, k, p + i])
+                else:
+                    seen[0] += count
+                    if (k, p + i) < (seen[1], seen[2]):
+                        seen[1], seen[2] = k, p + i
+
+        def stream(own: tuple, k: int, th: int, p: int) -> None:
+            a = b = -1
+            for end, (c, fk, fp) in automaton.iter(own):
+                s = p + end + 1 - size
+                if c < 2 or (fk == k and fp == s):
+                    continue
+                if s > b:
+                    if b > a:
+                        out.append((k, th, a, b))
+                    a = s
+                b = s + size
+            if b > a:
+                out.append((k, th, a, b))
+
+        def close() -> None:
+            if len(automaton):
+                automaton.make_automaton()
+                for row in held:
+                    stream(*row)
+            held.clear()
+
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            out: list[tuple[int, int, int, int]] = []
-            for shard_, kind, k, th, p, text in zip(*cols, strict=True):
+            for shard_, kind, k, th, p, text in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if shard_ != now:
-                    now, number, automaton, ready = shard_, {}, ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), False
-                words = text.split(" ")
-                if kind == 0:
-                    automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in words]), (k, p))
-                    continue
-                if not ready:
-                    if not number:
-                        continue
-                    automaton.make_automaton()
-                    ready = True
-                a = b = -1
-                for end, (fk, fp) in automaton.iter(tuple([number.get(w, 0) for w in words])):
-                    s = p + end + 1 - size
-                    if fk == k and fp == s:
-                        continue
-                    if s > b:
-                        if b > a:
-                            out.append((k, th, a, b))
-                        a = s
-                    b = s + size
-                if b > a:
-                    out.append((k, th, a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["k", "th", "a", "b"])
-
-    return both.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "k long, th long, a long, b long")
+                    if automaton is not None:
+                        close()
+                    now, number, automaton = shard_, {}, ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                own = tuple([number.setdefault(w, len(number) + 1) for w in text.split(" ")])
+                if kind != 1:
+                    enter(own, k, p, th if kind == 0 else 1)
+                if kind != 0:
+                    held.append((own, k, th, p))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["k", "th", "a", "b"])
+                out.clear()
+        if automaton is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["k", "th", "a", "b"])
+
+    return rows.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, "k long, th long, a long, b long")
 
 
 def find_repeats(docs: DataFrame, size: int = SIZE, whole_text: bool = False) -> DataFrame:
@@ -254,8 +312,7 @@ def find_repeats(docs: DataFrame, size: int = SIZE, whole_text: bool = False) ->
     one space, or their SHA-256, and ranges: removed word ranges [a, b)."""
     split = store(_split(_keyed(docs), size, whole_text), "split")
     segments = split.where("kind = 2").select("h", "k", "th", "start", "text")
-    passages = store(_passages(segments, size), "passages")
-    ranges = _locate(segments, passages, size).groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = _locate(segments, size).groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     suspects = split.where("kind = 1").select("doc_id", "k", "th", "n_words", "text").join(ranges, ["k", "th"], "left").select("doc_id", "k", "th", "n_words", "text", "ranges")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, th long, n_words long, n_removed long, kept string, ranges array<array<long>>"
 
@@ -280,7 +337,7 @@ def find_repeats(docs: DataFrame, size: int = SIZE, whole_text: bool = False) ->
                 spans.append(merged)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[x.split()[0] for x in schema.split(", ")])
 
-    done = split.where("kind = 0").select("doc_id", "k", "th", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept", F.array().cast("array<array<long>>").alias("ranges"))
+    done = split.where("kind = 0").select("doc_id", "k", "th", "n_words", "n_removed", "kept", F.when(F.col("n_removed") > 0, F.array(F.array(F.lit(0).cast("long"), "n_words"))).otherwise(F.array().cast("array<array<long>>")).alias("ranges"))
     return done.unionByName(suspects.mapInArrow(run, schema))
 
 
