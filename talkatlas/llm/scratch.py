@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,20 +23,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it: lineage is cut,
-    lost executors cost no recomputation. Tables go at exit or by release()."""
+def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it: lineage is cut, and a lost
+    executor costs no recomputation of what came before. Tables go at exit, or
+    by release() unless keep is set."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/talkatlas/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    (_KEPT if keep else _WRITTEN).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Deletes all tables stored so far. Call it when their results have been written."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+    """Deletes the tables stored so far. Call it when results made from them have been written."""
+    _delete(_WRITTEN)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,4 +50,7 @@ def release() -> None:
             return
 
 
-atexit.register(release)
+@atexit.register
+def _at_exit() -> None:
+    _delete(_WRITTEN)
+    _delete(_KEPT)
