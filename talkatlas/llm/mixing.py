@@ -71,19 +71,21 @@ def _distribution(mean: Column) -> Column:
 
 
 def replicate(docs: DataFrame, by_source: DataFrame, seed: str = "mix", shuffle: bool = True) -> DataFrame:
-    """docs with each row repeated, and columns rate and replica (from 0)."""
-    table = by_source.select(F.col("source").alias("source__"), "rate", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int").alias("pieces__"))
-    table = table.withColumn("cdf__", _distribution(F.col("rate") / F.col("pieces__")))
+    """docs with each row repeated, and columns rate and replica (from 0), which replace
+    columns of these names."""
+    table = by_source.select(F.col("source").alias("source__"), F.col("rate").alias("rate__"), F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int").alias("pieces__"))
+    table = table.withColumn("cdf__", _distribution(F.col("rate__") / F.col("pieces__")))
     if by_source.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = docs.join(table, docs["source"].eqNullSafe(F.col("source__"))).where(F.col("rate") > 0)
+    joined = docs.join(table, docs["source"].eqNullSafe(F.col("source__"))).where(F.col("rate__") > 0)
     draws = F.transform(F.sequence(F.lit(0), F.col("pieces__") - 1), lambda piece: uniform(seed, F.col("doc_id"), piece))
     number = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("cdf__", lambda c: c <= u)))
     copies = (
         joined.withColumn("number__", number)
         .where(F.col("number__") > 0)
         .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("number__") - 1)))
-        .drop("number__", "cdf__", "pieces__", "source__")
+        .withColumn("rate", F.col("rate__"))
+        .drop("number__", "cdf__", "pieces__", "source__", "rate__")
     )
     if not shuffle:
         return copies
