@@ -671,3 +671,100 @@ def _(s, d):
         ("s2", "c4", 3, "start", None, None), ("s2", "c4", 4, "start", None, None), ("s2", "c4", 5, "path", "/e", None), ("s2", "c4", 6, "end", None, True),
     ]
     return L.write_ledger(s.createDataFrame(rows, "session string, call_id string, pos int, kind string, path string, ok boolean"))
+
+
+# --- cost -------------------------------------------------------------------------------
+
+_PRICES = {"alpha": (2.0, 8.0, 0.5), "alpha-pro": (10.0, 30.0, 1.0, 12.0), "alpha-mini": (0.2, 0.8, 0.02), "beta": (1.0, 4.0, 0.1, 1.5, 2.5)}
+_MODELS = ("Alpha_Pro.2", "alpha-v1", "alpha-x-mini", "beta", "gamma", None)
+_MODEL_SQL = "CASE event_id % 6 WHEN 0 THEN 'Alpha_Pro.2' WHEN 1 THEN 'alpha-v1' WHEN 2 THEN 'alpha-x-mini' WHEN 3 THEN 'beta' WHEN 4 THEN 'gamma' END"
+_PRICE_SQL = """(VALUES ('Alpha_Pro.2', 10.0, 30.0, 1.0, 12.0, 20.0), ('alpha-v1', 2.0, 8.0, 0.5, 2.5, 4.0), ('alpha-x-mini', 0.2, 0.8, 0.02, 0.25, 0.4),
+    ('beta', 1.0, 4.0, 0.1, 1.5, 2.5), ('gamma', 3.0, 15.0, 0.3, 3.75, 6.0), (NULL, 3.0, 15.0, 0.3, 3.75, 6.0)) p(m, i, o, c, w, w1)"""
+
+
+def _usage(s: SparkSession, d: str) -> DataFrame:
+    model = F.get(F.array(*[F.lit(m) for m in _MODELS]), (F.col("event_id") % 6).cast("int"))
+    n = lambda k: (F.col("event_id") % k).cast("long")
+    return table(s, d, "events").select("event_id", model.alias("model"), (n(1000) * 10).alias("input"), n(300).alias("output"), (n(500) * 3).alias("read"), n(70).alias("write"), n(11).alias("write_1h"))
+
+
+@query("price_longest_match", f"SELECT DISTINCT model, CAST(i AS DOUBLE) AS p_in, CAST(w1 AS DOUBLE) AS p_write_1h FROM (SELECT {_MODEL_SQL} AS model FROM events) JOIN {_PRICE_SQL} ON model IS NOT DISTINCT FROM m")
+def _(s, d):
+    from talkatlas.functions import pricing as P
+
+    return P.priced(_usage(s, d).select("model").distinct(), P.price_frame(s, _PRICES), "model").select("model", "p_in", "p_write_1h")
+
+
+@query(
+    "cost_by_model",
+    f"""SELECT model, count(*) AS n, round(sum((greatest(0, inp - r - w5 - w60) * CAST(i AS DOUBLE) + r * CAST(c AS DOUBLE) + w5 * CAST(w AS DOUBLE) + w60 * CAST(w1 AS DOUBLE) + outp * CAST(o AS DOUBLE)) / 1000000), 6) AS cost FROM
+    (SELECT {_MODEL_SQL} AS model, event_id % 1000 * 10 AS inp, event_id % 300 AS outp, event_id % 500 * 3 AS r, event_id % 70 AS w5, event_id % 11 AS w60 FROM events) JOIN {_PRICE_SQL} ON model IS NOT DISTINCT FROM m GROUP BY model""",
+)
+def _(s, d):
+    from talkatlas.functions import pricing as P
+
+    each = P.priced(_usage(s, d), P.price_frame(s, _PRICES), "model").withColumn("usd", P.cost())
+    return each.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("usd"), 6).alias("cost"))
+
+
+@query(
+    "cache_cost",
+    f"""SELECT event_id, round((inp * CAST(i AS DOUBLE) + r * CAST(c AS DOUBLE) + w5 * CAST(w AS DOUBLE) + w60 * CAST(w1 AS DOUBLE) + outp * CAST(o AS DOUBLE)) / 1000000, 9) AS cost FROM
+    (SELECT event_id, {_MODEL_SQL} AS model, event_id % 1000 * 10 AS inp, event_id % 300 AS outp, event_id % 500 * 3 AS r, event_id % 70 AS w5, event_id % 11 AS w60 FROM events WHERE event_id % 10 = 0) JOIN {_PRICE_SQL} ON model IS NOT DISTINCT FROM m""",
+)
+def _(s, d):
+    from talkatlas.functions import pricing as P
+
+    return P.priced(_usage(s, d).where("event_id % 10 = 0"), P.price_frame(s, _PRICES), "model").select("event_id", F.round(P.cost(includes_cache=False), 9).alias("cost"))
+
+
+# --- summaries and packing (no SQL: stateful folds) -------------------------------------
+
+
+@query("summary_fast")
+def _(s, d):
+    turns = L.assemble_turns(table(s, d, "conversations"), "conv_id", "turn", "role", "text")
+    lead = F.min_by(X.plain_text(F.col("user_message")), F.when(F.trim("user_message") != "", F.col("turn_index")))
+    body = F.max_by(X.plain_text(F.col("assistant_response")), F.when(F.length(X.plain_text(F.col("assistant_response"))) > 40, F.col("turn_index")))
+    per = turns.groupBy("conv_id").agg(lead.alias("lead"), body.alias("body"))
+    first = X.clip_words(F.get(F.split("lead", r"\. "), 0), 160)
+    two = F.array_join(F.slice(X.sentences(F.col("body")), 1, 2), " ")
+    text = F.concat_ws(" ", first, F.when(two != "", two).otherwise(F.col("body")))
+    return per.select("conv_id", F.when(F.length(text) > 380, F.concat(X.clip_words(text, 377), F.lit("..."))).otherwise(text).alias("summary"))
+
+
+@query("greedy_pack")
+def _(s, d):
+    docs = table(s, d, "documents").select("source", "doc_id", "n_chars")
+    ordered = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("o"), "doc_id", "n_chars"))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+
+    def step(acc, x):
+        fits = acc["used"] + x["n_chars"] <= 16384
+        return F.struct((acc["used"] + F.when(fits, x["n_chars"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(acc["ids"], x["doc_id"])).otherwise(acc["ids"]).alias("ids"))
+
+    return ordered.select("source", F.aggregate("all", start, step).alias("p")).select("source", "p.used", F.size("p.ids").cast("long").alias("n"))
+
+
+# --- event-time extensions (no counterpart in the archive's own engine) ---------------------
+
+
+@query("stream_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
+def _(s, d):
+    from talkatlas.streaming import ingest as I
+
+    out = I.tumbling(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", ["event_type"])
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "v")
+
+
+@query(
+    "stream_session",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    h AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM h GROUP BY user_id, i""",
+)
+def _(s, d):
+    from talkatlas.streaming import ingest as I
+
+    out = I.sessions(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", "user_id")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
