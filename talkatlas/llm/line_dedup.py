@@ -1,171 +1,336 @@
-"""Line dedup: an exact set-similarity join of all lines, in DataFrame functions only.
+"""Line dedup: an exact set-similarity join of all lines.
 
 A line's tokens are its distinct five-word shingles (a shorter line is one token);
 a line is removed if an earlier line (smaller doc_id, or the same document and an
 earlier place) has the same words or a Jaccard similarity of at least `percent`.
-Every line is judged on the input. Lines without words are never matched.
-
-1. Each line becomes the identity of its words, its number of tokens and the prefix
-   of its tokens under a hash order. Equal lines are grouped: all but the first go.
-2. Two similar lines share a token within their prefixes. Tokens that only equal lines
-   share are dropped in one pre-aggregated count; what survives are the candidate
-   lines, and only their texts are looked at again.
-3. Candidates' tokens are ordered by rarity (frequency among the candidates); prefix,
-   length and positional filters make pairs, the full token sets verify them.
-   Each token's earliest and most central lines are tried first; only lines that have
-   not matched yet are paired with the token's other earlier lines, so that a
-   large group of similar lines costs a few pairs for each line.
+Words are split at spaces, tabs, CR, FF and VT, A-Z lower-cased. Every line is judged
+on the input. Lines without words are never matched.
+
+1. Words are counted over the whole corpus in a sketch of 2**SKETCH counters. A token's
+   rarity is its rarest word's count there (in powers of two, ties by hash): one order
+   of all tokens, rare ones first, which is all that a prefix filter needs to be exact.
+2. Each line becomes the identity of its words (two 64-bit hashes) and the prefix of its
+   tokens in that order. Equal lines are grouped: all but the first go.
+3. Two similar lines share a token within their prefixes. Tokens that several lines of
+   one batch share are found there; over batches a token is shuffled once a batch, so
+   a token in a third of all lines costs a row a batch. What only one line has is dropped.
+4. Prefix, length and positional filters make pairs, the full token sets verify
+   them. Each token's earliest and most central lines are tried first; only lines
+   that have not matched yet are paired with the token's other earlier lines, so
+   that a large group of similar lines costs a few pairs for each line.
+
+Steps 1 to 3 hash in Arrow batches; a form in DataFrame functions only gave the same rows
+but not within the check tool's limits (figures in the README).
 
 Defined results: null text stays null and has no lines; empty text is one line without
 words; rows with equal doc_id and equal text are one document (equal results); rows
 with equal doc_id and different texts are ordered by a hash of the text; a null doc_id
-comes first; very long lines are ordinary lines; extra columns are carried by
-`dedup_lines`; an empty table gives no rows.
+comes first; very long lines are ordinary lines; extra columns of any name are carried
+by `dedup_lines`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .scratch import store
 
 SHINGLE = 5
+#: Counters of the word sketch, as a power of two.
+SKETCH = 14
 _NULL = -(1 << 63)
 _ID = ["k", "th", "no"]
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a computed column behind a generator, so that it is evaluated once for each
-    row however often lambdas refer to it."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
-def _words(line: Column) -> Column:
-    low = F.lower(line)
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
-    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\f\x0b", "    ")).otherwise(low), " "), "")
-
-
-def _tokens(hashes: str, k: int = SHINGLE) -> Column:
-    """Distinct tokens of an array of word hashes."""
-    h = F.col(hashes)
-    many = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-    return F.array_distinct(F.when(F.size(h) >= k, many).otherwise(F.array(F.xxhash64(F.size(h), h))))
-
-
-def _prefix_size(n: Column, percent: int) -> Column:
-    return (n - F.ceil(n * percent / 100) + 1).cast("int")
-
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, inside one expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _line_tokens(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, lines' first words, line offsets) where rows of text are cut at LF."""
+    feeds = np.flatnonzero(buf == 10) + 1
+    starts = np.sort(np.concatenate([offs[:-1], feeds]), kind="stable")
+    bounds = np.append(starts, offs[-1])
+    first, last, at = K.word_spans(buf, bounds, K.SPACED)
+    return K.word_hashes(buf, first, last, K.FOLDED), at, bounds
+
+
+def _sorted_tokens(words: np.ndarray, at: np.ndarray, k: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct tokens by line and rarity, lines' first tokens). classes: the sketch's rarity
+    classes; without them the order is by hash."""
+    grams = K.gram_hashes(words, k) >> K.U64(6)
+    if classes is not None and len(grams):
+        rare = K.sliding_min(classes[(words >> K.U64(64 - SKETCH)).astype(np.int64)], k)
+        grams |= rare.astype(K.U64) << K.U64(58)
+    size = np.diff(at)
+    line = np.repeat(np.arange(len(size)), np.maximum(size - k + 1, 0))
+    whole = np.arange(len(line)) - np.repeat(np.cumsum(np.maximum(size - k + 1, 0)) - np.maximum(size - k + 1, 0), np.maximum(size - k + 1, 0)) + at[line]
+    token = grams[whole]
+    short = np.flatnonzero((size > 0) & (size < k))
+    if len(short):
+        one = np.array([K.gram_hashes(words[at[i] : at[i + 1]], int(size[i]), salt=int(size[i]))[0] for i in short.tolist()], dtype=K.U64)
+        line, token = np.concatenate([line, short]), np.concatenate([token, one])
+    order = np.lexsort((token, line))
+    line, token = line[order], token[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
+    line, token = line[new], token[new]
+    return token, np.searchsorted(line, np.arange(len(size) + 1))
+
+
+def rarity_classes(docs: DataFrame) -> np.ndarray:
+    """For each of 2**SKETCH buckets of word hashes, the power of two of its count over all
+    texts: 0 for the rarest. A fixed size, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH, np.int64)
+        for batch in batches:
+            whole, offs = K.text_buffer(batch.column(0))
+            for r0, r1 in K.doc_blocks(offs, 4 << 20):
+                buf = whole[offs[r0] : offs[r1]]
+                starts, ends, _ = K.word_spans(buf, offs[r0 : r1 + 1] - offs[r0], K.SPACED)
+                bucket = (K.word_hashes(buf, starts, ends, K.FOLDED) >> K.U64(64 - SKETCH)).astype(np.int64)
+                counts += np.bincount(bucket, minlength=len(counts))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["b", "c"])
+
+    out = np.zeros(1 << SKETCH, np.int64)
+    for r in docs.select("text").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
+        out[r.b] = r.c
+    return np.log2(np.maximum(out, 1)).astype(np.uint8)
+
+
+def _identities(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each line's word sequence."""
+    out = []
+    for salt in (1, 2):
+        place = np.arange(len(words), dtype=K.U64) - np.repeat(at[:-1], np.diff(at)).astype(K.U64)
+        each = K.mix64((words + K.U64(salt)) * K.U64(0x9E3779B97F4A7C15) + K.mix64(place + K.U64(salt)))
+        sums = np.concatenate([[K.U64(0)], np.cumsum(each, dtype=K.U64)])
+        out.append(K.mix64(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(K.U64)).view(np.int64))
+    return out[0], out[1]
+
+
+def _line_table(keyed: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
+    """k, th, no, c1, c2 (identity of the words), n (number of tokens), head (their prefix) of every line with words."""
+    shared = keyed.sparkSession.sparkContext.broadcast(rarity_classes(keyed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, offs = K.text_buffer(batch.column(0))
+            ks, ths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for r0, r1 in K.doc_blocks(offs, 4 << 20):
+                own = offs[r0 : r1 + 1] - offs[r0]
+                words, at, bounds = _line_tokens(whole[offs[r0] : offs[r1]], own, k)
+                if not len(words):
+                    continue
+                # an empty row shares its offset with the next row's first line: it has no words
+                row = np.searchsorted(own, bounds[:-1], "right") - 1
+                first = np.searchsorted(bounds[:-1], own[:-1], "left")
+                first = np.maximum.accumulate(np.where(np.diff(own) > 0, np.searchsorted(bounds[:-1], own[:-1], "right") - 1, first))
+                number = np.arange(len(row)) - first[row]
+                c1, c2 = _identities(words, at)
+                token, begin = _sorted_tokens(words, at, k, shared.value)
+                n = np.diff(begin)
+                take = np.where(np.diff(at) >= k, n - -(-n * percent // 100) + 1, 0)
+                rank = np.arange(len(token)) - np.repeat(begin[:-1], n)
+                head = token[rank < np.repeat(take, n)].view(np.int64)
+                some = np.diff(at) > 0
+                ends = np.concatenate([[0], np.cumsum(take[some])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ks[r0:r1][row[some]]), pa.array(ths[r0:r1][row[some]]), pa.array(number[some].astype(np.int32)), pa.array(c1[some]), pa.array(c2[some]), pa.array(n[some].astype(np.int32)), K.list_array(head, ends, pa.int64())],
+                    names=[*_ID, "c1", "c2", "n", "head"],
+                )
+
+    return keyed.where(F.col("text").isNotNull()).select("text", "k", "th").mapInArrow(run, "k long, th long, no int, c1 long, c2 long, n int, head array<long>")
+
+
+def _shared_tokens(table: DataFrame) -> DataFrame:
+    """item, c1, n, pos: the prefix tokens that two different lines or more have."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["key", "item", "c1", "x"]
+
+    def runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        return first, np.diff(np.append(first, len(t)))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column(2)
+            t = heads.flatten().to_numpy()
+            if not len(t):
+                continue
+            at = heads.offsets.to_numpy()
+            size = np.diff(at)
+            c, n = np.repeat(batch.column(0).to_numpy(), size), np.repeat(batch.column(1).to_numpy(), size)
+            x = (n.astype(np.int64) << 32) | ((np.arange(len(t)) - np.repeat(at[:-1] - at[0], size)).astype(np.int64) << 2)
+            order = np.lexsort((c, t))
+            t, c, x = t[order], c[order], x[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            t, c, x = t[new], c[new], x[new]
+            first, size = runs(t)
+            several = np.repeat(size > 1, size)
+            # the lowest bits: 0 the only line of this batch with the token, 1 one of several, 2 known to share it
+            ones = [t[first], t[first], c[first], x[first] | (size > 1)]
+            known = [K.mix64((c[several] ^ t[several]).view(np.uint64)).view(np.int64), t[several], c[several], x[several] | 2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])) for a, b in zip(ones, known, strict=True)], names=names)
+
+    def judged(key: np.ndarray, item: np.ndarray, c: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        keep = np.zeros(len(key), bool)
+        if len(key):
+            kind = x & 3
+            keep = kind == 2
+            own = np.flatnonzero(~keep)
+            if len(own):
+                first, size = runs(key[own])
+                least, most = np.minimum.reduceat(c[own], first), np.maximum.reduceat(c[own], first)
+                # rows of several lines of one batch are there already as known ones
+                keep[own] = np.repeat((least != most) | (np.maximum.reduceat(kind[own], first) > 0), size) & (kind[own] == 0)
+        return pa.RecordBatch.from_arrays([pa.array(item[keep]), pa.array(c[keep]), pa.array((x[keep] >> 32).astype(np.int32)), pa.array(((x[keep] & 0xFFFFFFFF) >> 2).astype(np.int32))], names=["item", "c1", "n", "pos"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            own = [batch.column(i).to_numpy() for i in range(4)]
+            if rest is not None:
+                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            cut = int(np.searchsorted(own[0], own[0][-1], "left")) if len(own[0]) else 0
+            rest = [x[cut:] for x in own]
+            yield judged(*[x[:cut] for x in own])
+        if rest is not None:
+            yield judged(*rest)
+
+    rows = table.select("c1", "n", "head").mapInArrow(combine, "key long, item long, c1 long, x long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "item long, c1 long, n int, pos int")
+
+
+def _full_sets(lines: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """id, items of lines (id, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, offs = K.text_buffer(batch.column(1))
+            for r0, r1 in K.doc_blocks(offs, 4 << 20):
+                buf, own = whole[offs[r0] : offs[r1]], offs[r0 : r1 + 1] - offs[r0]
+                starts, ends, at = K.word_spans(buf, own, K.SPACED)
+                token, begin = _sorted_tokens(K.word_hashes(buf, starts, ends, K.FOLDED), at, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), K.list_array(token.view(np.int64), begin, pa.int64())], names=["id", "items"])
+
+    return lines.select("id", "line").mapInArrow(run, "id long, items array<long>")
+
+
+def _fits(x: tuple[str, str], y: tuple[str, str], percent: int) -> Column:
+    """Length and positional filters for lines (n, pos) that share a token."""
+    nx, px, ny, py = F.col(x[0]), F.col(x[1]), F.col(y[0]), F.col(y[1])
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.least(nx - px, ny - py) * (100 + percent) >= (nx + ny) * percent)
+
+
+def _led(prefix: DataFrame, percent: int) -> DataFrame:
+    """id, y: each line with its tokens' earliest and most central lines, if earlier and fitting."""
+    row = F.struct("id", "n", "pos")
+    leaders = prefix.groupBy("item").agg(F.min(row).alias("a"), F.min_by(row, F.struct("pos", "id")).alias("b"))
+    led = prefix.join(leaders, "item").withColumn("y", F.explode(F.array("a", "b"))).where("y.id < id")
+    return led.where(_fits(("n", "pos"), ("y.n", "y.pos"), percent)).select("id", F.col("y.id").alias("y")).distinct()
 
-def _hashed(df: DataFrame) -> DataFrame:
-    """df (with column line) and its columns words (hashes) and items, without lines that have no words."""
-    df = _once(df, "words", _words(F.col("line"))).drop("line").where(F.size("words") > 0)
-    df = _once(df, "h", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
-    return _once(df, "items", _tokens("h"))
 
+def _others(prefix: DataFrame, matched: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """id, y: lines that have not matched, with all other earlier lines of their tokens that fit."""
+    open_ = prefix.join(matched, "id", "left_anti")
+    rest = prefix.select("item", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
+    pairs = open_.join(rest, "item").where("y < id").where(_fits(("n", "pos"), ("yn", "ypos"), percent))
+    return pairs.select("id", "y").distinct().join(tried, ["id", "y"], "left_anti")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))).withColumn("th", F.xxhash64("text"))
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id) of the pairs whose full token sets are similar enough."""
+    x = sets.select("id", F.col("items").alias("ix"))
+    y = sets.select(F.col("id").alias("y"), F.col("items").alias("iy"))
+    common = F.size(F.array_intersect("ix", "iy"))
+    full = pairs.join(x, "id").join(y, "y")
+    return full.where(common * (100 + percent) >= (F.size("ix") + F.size("iy")) * percent).select("id").distinct()
 
-def _line_table(keyed: DataFrame, percent: int) -> DataFrame:
-    """k, th, no, c1, c2 (identity of the words), head (prefix, 32-bit)."""
-    lines = keyed.select("k", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    full = _hashed(lines)
-    size = _prefix_size(F.size("items"), percent)
-    head = F.transform(F.slice(F.sort_array("items"), F.lit(1), size), lambda x: F.shiftright(x, 32).cast("int"))
-    return full.select(*_ID, F.xxhash64("h").alias("c1"), F.xxhash64(F.lit(1), "h").alias("c2"), head.alias("head"))
 
+def _sets(asked: DataFrame) -> DataFrame:
+    """id, items of the asked lines (numbers and ids by document)."""
+    each = asked.select("text", F.explode("asked").alias("x"))
+    return _full_sets(each.select("x.id", _let(F.split("text", "\n"), lambda lines: F.get(lines, F.col("x.no"))).alias("line")))
 
-def _similar(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id): candidates with an earlier line that is similar enough."""
-    share = 100 + percent
 
-    def fits(x: str, y: str) -> Column:
-        nx, ny, px, py = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
-        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.least(nx - px, ny - py) * share >= (nx + ny) * percent)
+def _without(text: Column, gone: Column) -> Column:
+    """text without the lines of these numbers."""
+    left = _let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)), "\n"))
+    return F.when(F.size(gone) == 0, text).otherwise(left)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("id").alias("id"), F.col("items").alias("ix"))
-        y = sets.select(F.col("id").alias("y"), F.col("items").alias("iy"))
-        full = pairs.distinct().join(x, "id").join(y, "y")
-        common = F.size(F.array_intersect("ix", "iy"))
-        return full.where(common * share >= (F.size("ix") + F.size("iy")) * percent).select("id").distinct()
 
-    row = F.struct("id", "n", "pos")
-    leaders = prefix.groupBy("item").agg(F.min(row).alias("a"), F.min_by(row, F.struct("pos", "id")).alias("b"))
-    led = prefix.join(leaders, "item")
-    star = [led.select("id", "n", "pos", F.col(f"{c}.id").alias("y"), F.col(f"{c}.n").alias("yn"), F.col(f"{c}.pos").alias("ypos")).where("y < id").where(fits("", "y")).select("id", "y") for c in "ab"]
-    first = store(verified(star[0].unionByName(star[1])), "matched")
-    open_ = prefix.join(first, "id", "left_anti")
-    others = prefix.select("item", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
-    rest = open_.join(others, "item").where("y < id").where(fits("", "y")).select("id", "y")
-    return first.unionByName(verified(rest))
-
-
-def mark_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with k, th and gone: the sorted numbers (from 0) of the lines to remove."""
-    keyed = _keyed(docs)
+def _judge(docs: DataFrame, percent: int, digest: bool) -> DataFrame:
+    """row (the other columns), n_lines, n_removed, kept (or its SHA-256), words (whether any is left)."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64("text").alias("th"))
     table = store(_line_table(keyed, percent), "lines")
     own = F.struct(*_ID)
     classes = table.groupBy("c1", "c2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("c"))
-    later = table.join(classes.where("c > 1"), ["c1", "c2"]).where(own != F.col("first")).groupBy("k", "th").agg(F.collect_set("no").alias("later"))
-    rows = table.select("c1", "c2", F.explode("head").alias("t"))
-    shared = rows.groupBy("t").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("t")
-    candidates = rows.join(shared, "t").select("c1", "c2").distinct()
-    asked = classes.join(candidates, ["c1", "c2"]).groupBy("first.k", "first.th").agg(F.collect_list("first.no").alias("asked"))
-    marks = later.join(asked, ["k", "th"], "full")
-    marked = store(keyed.join(marks, ["k", "th"], "left"), "marked")
-    if not table.select("k").isEmpty():
-        asked_lines = _once(marked.where("asked is not null").select("k", "th", "asked", "text"), "lines", F.split("text", "\n")).select("k", "th", "lines", F.explode("asked").alias("no"))
-        sets = _hashed(asked_lines.dropDuplicates(_ID).select(*_ID, F.get("lines", F.col("no")).alias("line"))).select(own.alias("id"), "items")
-        sets = store(sets, "sets")
-        items = sets.select("id", F.explode("items").alias("item"))
-        often = items.groupBy("item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-        ordered = items.join(often, "item", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "item"))).alias("o"))
-        n = F.size("o")
-        prefix = ordered.select("id", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), _prefix_size(n, percent))).alias("pos", "x")).where("x.f > 1").select("id", "n", "pos", F.col("x.item").alias("item"))
-        similar = _similar(store(prefix, "prefix"), sets, percent).distinct()
-        near = store(similar.groupBy("id.k", "id.th").agg(F.collect_set("id.no").alias("near")), "near")
-        # only documents whose lines were candidates meet the verdicts
-        some = marked.where("asked is not null").join(near, ["k", "th"], "left")
-        marked = marked.where("asked is null").withColumn("near", F.lit(None).cast("array<int>")).unionByName(some)
-    else:
-        marked = marked.withColumn("near", F.lit(None).cast("array<int>"))
+    later = table.drop("head", "n").join(classes.where("c > 1"), ["c1", "c2"]).where(own != F.col("first")).groupBy("k", "th").agg(F.collect_set("no").alias("later"))
+    shared = store(_shared_tokens(table), "shared")
+    # candidates get dense numbers in the order of their places: short keys for what follows
+    found = classes.join(shared.select("c1").distinct(), "c1").select("c1", "first.k", "first.th", "first.no")
+    numbered = store(found.orderBy("k", "th", "no").withColumn("id", F.monotonically_increasing_id()), "numbered")
+    prefix = store(shared.join(numbered.select("c1", "id"), "c1").select("item", "id", "n", "pos"), "prefix")
+    led = store(_led(prefix, percent), "led")
+    # lines that a filter may still pair: those with a fitting leader, or a token of three lines or more
+    wide = prefix.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select("item")
+    wanted = led.select("id").unionByName(led.select(F.col("y").alias("id"))).unionByName(prefix.join(wide, "item", "left_semi").select("id")).distinct()
+    asked = numbered.join(wanted, "id").groupBy("k", "th").agg(F.collect_list(F.struct("no", "id")).alias("asked"))
+    marked = keyed.join(later.join(asked, ["k", "th"], "full"), ["k", "th"], "left")
     none = F.array().cast("array<int>")
-    return marked.withColumn("gone", F.sort_array(F.array_union(F.coalesce("later", none), F.coalesce("near", none)))).drop("later", "asked", "near")
-
-
-def _without(df: DataFrame) -> DataFrame:
-    """df with column lines, and kept: the text without its gone lines."""
-    df = _once(df, "lines", F.split("text", "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    return df.withColumn("kept", kept)
+    is_open = F.col("asked").isNotNull()
+
+    def verdict(gone: Column) -> list[Column]:
+        lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+        kept = _without(F.col("text"), gone)
+        done = _let(kept, lambda x: F.struct((F.sha2(F.coalesce(x, F.lit("")).cast("binary"), 256) if digest else x).alias("kept"), (x.rlike(r"\S")).alias("words")))
+        return [lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), done.alias("done")]
+
+    gone = F.coalesce("later", none)
+    first = [F.when(~is_open, c).alias(n) for c, n in zip(verdict(gone), ("n_lines", "n_removed", "done"), strict=True)]
+    # a document without candidate lines is finished here; only the others' texts go on
+    split = store(marked.select("row", "k", "th", *first, F.when(is_open, F.col("text")).alias("text"), "later", "asked"), "split")
+    open_ = split.where(is_open).select("row", "k", "th", "text", "later", "asked")
+    sets = store(_sets(open_), "sets")
+    matched = store(_verified(led, sets, percent), "matched")
+    similar = matched.unionByName(_verified(_others(prefix, matched, led, percent), sets, percent)).distinct()
+    near = numbered.join(similar, "id").groupBy("k", "th").agg(F.collect_set("no").alias("near"))
+    some = open_.join(near, ["k", "th"], "left").withColumn("gone", F.array_union(F.coalesce("later", none), F.coalesce("near", none)))
+    both = split.where(~is_open).select("row", "n_lines", "n_removed", "done").unionByName(some.select("row", *verdict(F.col("gone"))))
+    return both.select("row", "n_lines", "n_removed", "done.kept", "done.words")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, drop_emptied: bool = True) -> DataFrame:
     """docs with the remaining lines as text; all columns kept. A document that had words
     and lost all of them goes, unless drop_emptied is false."""
-    out = _without(mark_lines(docs, percent))
+    out = _judge(docs, percent, False)
     if drop_emptied:
-        out = out.where((F.size("gone") == 0) | F.col("text").isNull() | F.col("kept").rlike(r"[^\s]"))
-    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        out = out.where((F.col("n_removed") == 0) | F.coalesce("words", F.lit(False)))
+    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every row of docs."""
-    out = _without(mark_lines(docs.select("doc_id", "text"), percent))
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
-    return out.select("doc_id", lines.alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return _judge(docs.select("doc_id", "text"), percent, True).select("row.doc_id", "n_lines", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def oracle(table: str, percent: int = 80, k: int = SHINGLE) -> str:
     """DuckDB SQL for line_report() (unique, non-null ids)."""
     return f"""
 WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {table} WHERE text IS NOT NULL)),
-worded AS (SELECT doc_id, no, list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda x: x <> '') AS w FROM lines),
+worded AS (SELECT doc_id, no, list_filter(string_split(translate(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda x: x <> '') AS w FROM lines),
 classes AS (SELECT w, min(struct_pack(d := doc_id, n := no)) AS id FROM worded WHERE len(w) > 0 GROUP BY w),
 tokens AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k} - 1], ' ')) END) AS t,
            CASE WHEN len(w) < {k} THEN len(w) ELSE {k} END AS kind FROM classes),
