@@ -7,8 +7,8 @@ method bootstraps:
 1. Base spans are seed entities. The words around them are lexical patterns: two
    words before, two words after, one on either side.
 2. Other tokens with digits are candidate identifiers; they stand in the same kinds
-   of patterns. Tokens that touch a base span, or a match that its check rejected, aren't
-   candidates.
+   of patterns. Tokens that touch a base span, or a match that its check rejected (of cards:
+   one of 12 digits or more), aren't candidates.
 3. Distinct (pattern, instance) pairs form a graph, aggregated before it is joined.
    A pattern's confidence for a kind is the sum of its instances' scores over their
    number plus one, if at least MIN_SEEDS different seeds support it; a
@@ -49,7 +49,7 @@ _REGEX = (
     r"\+[0-9][ ().0-9-]+[0-9]",
     r"(?:(?<!\S)|\G)[^\s0-9]*+[0-9]\S*+",
 )
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
 def _luhn(digits: Column) -> Column:
@@ -105,11 +105,13 @@ def _matches(keyed: DataFrame) -> DataFrame:
 
 
 def _candidates(matches: DataFrame) -> DataFrame:
-    """Tokens (punctuation at the ends taken off) that touch no base match, valid or not."""
+    """Tokens (punctuation at the ends taken off) that touch no base match, valid or rejected;
+    of short runs of digits, which are no cards, nothing follows."""
     lead = F.length(F.regexp_extract("match", r"^[^\p{L}0-9]*+", 0))
     core = F.regexp_replace("match", r"^[^\p{L}0-9]++|[^\p{L}0-9]++$", "")
     cut = matches.where(F.col("kind") == TOKEN).withColumn("start", F.col("start") + lead).withColumn("match", core).withColumn("end", F.col("start") + F.length("match"))
-    both = cut.unionByName(matches.where(F.col("kind") < TOKEN))
+    telling = F.col("ok") | (F.col("kind") != 2) | (F.length(F.regexp_replace("match", "[^0-9]", "")) >= 12)
+    both = cut.unionByName(matches.where((F.col("kind") < TOKEN) & telling))
     order = Window.partitionBy("k", "th").orderBy("start", "kind")
     base = F.col("kind") < TOKEN
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
