@@ -15,9 +15,10 @@ but the first (smallest doc_id, then earliest start) are removed.
    confirmed by its words, not by a hash.
 3. Locate. The trie is compiled to the shard's Aho-Corasick automaton (pyahocorasick)
    and all the shard's segments stream through it. What is found anywhere but at the
-   first occurrence is removed. The segments of an anchor with more than MOST of them
-   are cut to windows; a window's rows are counted before the shuffle, and salted over
-   shards that each get its count and first occurrence.
+   first occurrence is removed. Of an anchor with more than MOST segments equal ones are
+   counted before the shuffle, and its rows are salted over shards that each get the
+   counts and first occurrences; with more than MOST different ones the segments are
+   cut to windows, which then are the keys.
 
 A task holds one shard and one batch of rows. Intermediate tables are
 written to the shared folder.
@@ -46,8 +47,8 @@ SIZE = 20
 GRAM = 6
 #: Segments in one shard, on average (each has about six windows of 20 trie nodes).
 SHARD = 2000
-#: Segments of one anchor that go to one shard; beyond, they are cut to windows, which then
-#: are the keys, and a window's rows are counted before the shuffle and salted.
+#: Segments of one anchor that go to one shard. Beyond, equal ones are counted before the
+#: shuffle and the rows are salted; with more different ones they are cut to windows first.
 MOST = 4000
 _RUN = 64
 _POS = K.U64((1 << 24) - 1)
@@ -226,26 +227,41 @@ def _locate(segments: DataFrame, size: int, most: int = MOST) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = segments.select("h", "k", "th", "start", "text")
 
-    def counted(rows: DataFrame) -> DataFrame:
+    def counted(each: DataFrame) -> DataFrame:
         """Distinct segments with first occurrence and count, for each of the anchor's salts."""
-        each = rows.groupBy("h", "text", "salts").agg(F.min(F.struct("k", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
         return each.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "first.k", F.col("c").alias("th"), "first.start", "text")
 
     def salted(rows: DataFrame) -> DataFrame:
         return rows.select("h", F.pmod(F.xxhash64("k", "start"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "k", "th", "start", "text")
 
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h", "text").agg(F.min(F.struct("k", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
+
+    def salts(each: DataFrame) -> DataFrame:
+        return each.groupBy("h").agg(F.ceil(F.sum("c") / most).cast("int").alias("salts"))
+
     sizes = segments.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     hot = store(sizes.where(f"c > {most}").select("h"), "hot")
     total = segments.count()
     # ordinary anchors: their segments are counted and located in one shard
-    everything = texts.join(hot, "h", "left_anti") if not hot.isEmpty() else texts
+    everything = texts
+    if not hot.isEmpty():
+        everything = texts.join(hot, "h", "left_anti")
     everything = everything.select("h", F.lit(0).alias("salt"), F.lit(2).alias("kind"), "k", "th", "start", "text")
     if not hot.isEmpty():
-        # hot anchors: windows become the keys, and the rows of hot windows are salted
-        windows = store(_single_windows(texts.join(hot, "h", "left_semi"), size), "windows")
-        salts = windows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts"))
-        windows = windows.join(salts, "h")
-        everything = everything.unionByName(counted(windows)).unionByName(salted(windows))
+        # hot anchors: equal segments are counted before the shuffle, their rows are salted
+        rows = texts.join(hot, "h", "left_semi")
+        each = store(distinct(rows), "distinct")
+        dense = store(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n > {most}").select("h"), "dense")
+        plain = each.join(dense, "h", "left_anti")
+        by = salts(plain)
+        everything = everything.unionByName(counted(plain.join(by, "h"))).unionByName(salted(rows.join(by, "h")))
+        if not dense.isEmpty():
+            # too many different segments: their windows become the keys
+            windows = store(_single_windows(rows.join(dense, "h", "left_semi"), size), "windows")
+            own = distinct(windows)
+            by = salts(own)
+            everything = everything.unionByName(counted(own.join(by, "h"))).unionByName(salted(windows.join(by, "h")))
     shards = parts * max(1, -(-total // (parts * SHARD)))
     shard = F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).cast("int")
     rows = everything.select(shard.alias("shard"), "kind", "k", "th", "start", "text")
