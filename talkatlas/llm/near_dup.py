@@ -8,7 +8,7 @@
    representatives go on.
 3. Band buckets of up to SMALL members give all their pairs. The members of larger
    buckets are joined exactly instead: shingles are ordered by rarity among these
-   members, and prefix, length and positional filters make the candidates. Every
+   members (counted in a sketch of fixed size), and prefix, length and positional filters make the candidates. Every
    shingle's most central member is paired with the others first; after the
    links so found have been contracted, only members outside a shingle's main
    component are still paired. So a large group costs a few rows for each member, and no
@@ -44,6 +44,8 @@ from .scratch import store
 SHINGLE = 5
 SAMPLES, BANDS, BITS = 128, 32, 512
 SMALL = 16
+#: Counters of the rarity sketch, as a power of two.
+SKETCH = 16
 _WORDS64 = BITS // 64
 _ODD = (K.mix64(np.arange(1, SAMPLES + 1, dtype=K.U64)) | K.U64(1))[:, None]
 _ADD = K.mix64(np.arange(1001, 1001 + SAMPLES, dtype=K.U64))[:, None]
@@ -204,15 +206,51 @@ def link(docs: DataFrame, percent: int = 85, k: int = SHINGLE) -> tuple[DataFram
     return members, connected_components(links)
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """Counts of the items in a sketch of 2**SKETCH buckets: a fixed size, counted once a task
+    and bucket before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH, np.int64)
+        for batch in batches:
+            items = batch.column(0).flatten().to_numpy().view(np.uint64)
+            counts += np.bincount((items >> K.U64(64 - SKETCH)).astype(np.int64), minlength=len(counts))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["b", "c"])
+
+    out = np.zeros(1 << SKETCH, np.int64)
+    for r in sets.select("items").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
+        out[r.b] = r.c
+    return out
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(item, id, n, pos, sketch): the prefix of each set in order of rarity, items that only one set has left out."""
-    items = sets.select("id", F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
-    ordered = items.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("o"))
-    n = F.size("o")
-    length = n - F.ceil(n * percent / 100).cast("int") + 1
-    head = ordered.select("id", n.cast("long").alias("n"), F.posexplode(F.slice("o", F.lit(1), length)).alias("pos", "x")).where("x.f > 1")
-    return head.select("id", "n", "pos", F.col("x.item").alias("item")).join(sets.select("id", "sketch"), "id")
+    """(item, id, n, pos, sketch): the prefix of each set in order of rarity. Any one order of all
+    items makes the join exact; the sketch's puts the items of few sets first, and what
+    it counts once only one set has."""
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            column = batch.column(1)
+            at, flat = column.offsets.to_numpy(), column.flatten().to_numpy()
+            at = at - at[0]
+            row, pos, item, size = [], [], [], []
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                own = flat[a:b]
+                often = counts[(own.view(np.uint64) >> K.U64(64 - SKETCH)).astype(np.int64)]
+                order = np.lexsort((own, often))[: b - a - -(-(b - a) * percent // 100) + 1]
+                keep = np.flatnonzero(often[order] > 1)
+                row.append(np.full(len(keep), i))
+                pos.append(keep)
+                item.append(own[order[keep]])
+                size.append(np.full(len(keep), b - a))
+            if row:
+                ids = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(row)]), pa.array(np.concatenate(size)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(item))], names=["id", "n", "pos", "item"])
+
+    return sets.select("id", "items").mapInArrow(run, "id long, n long, pos int, item long").join(sets.select("id", "sketch"), "id")
 
 
 def _places(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
