@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,9 +32,17 @@ def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_root(spark)}/talkatlas/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     (_KEPT if keep else _WRITTEN).append((spark, path))
+    _sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffle files of what has just been stored: it learns of
+    them by the driver's garbage collection, which else may be far off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Deletes the tables stored so far. Call it when results made from them have been written."""
     _delete(_WRITTEN)
