@@ -133,3 +133,58 @@ def test_sqlite_stores(spark, tmp_path):
     assert (s.title, s.input_tokens, s.output_tokens, s.premium_requests) == ("N", 30, 4, 1)
     assert s.turns[0].files == ["a.py"] and "⮑ ok" in s.turns[0].assistant_response
     assert [r.part for r in chunks(R.composer_sessions(spark, [kv])).collect()] == [0]
+
+
+def test_editor_logs(spark, tmp_path):
+    from talkatlas.sources import editor_logs as V
+
+    request = lambda rid, text, parts=(), ts=1700000000000: {"requestId": rid, "timestamp": ts, "message": {"text": text}, "response": list(parts)}
+    write(
+        tmp_path / "ws1" / "chatSessions" / "s1.jsonl",
+        {"kind": 0, "v": {"sessionId": "s1", "creationDate": 1700000000000, "responderUsername": "Helper", "requests": []}},
+        {"kind": 2, "v": [request("r1", "First?")]},
+        {"kind": 1, "v": {"x": 1}},
+        {"kind": 2, "v": [{"value": "Part one "}, {"kind": "thinking", "value": "mull"}]},
+        "broken",
+        {"kind": 2, "v": [{"value": {"value": "and two."}}, {"kind": "toolInvocationSerialized", "toolId": "grep", "invocationMessage": "Looking"}, {"kind": "codeblockUri", "uri": {"path": "/w/a.py"}}]},
+        {"kind": 2, "v": [request("r2", "Second?", [{"value": "Whole"}])]},
+    )
+    (tmp_path / "ws1" / "chatSessions" / "s2.json").write_text(json.dumps({"sessionId": "s2", "creationDate": 1700000000000, "requests": [request("q", "Old?", ["plain"])]}))
+    (tmp_path / "ws1" / "workspace.json").write_text(json.dumps({"folder": "file:///home/u/my%20shop"}))
+    got = by_id(V.editor_logs(spark, str(tmp_path)))
+    first, second = got["editor-s1"].turns
+    assert first.user_message == "First?" and first.assistant_response.startswith("Part one and two.") and "`▷ grep` Looking" in first.assistant_response
+    assert (first.thinking, first.tools, first.files) == ("mull", ["grep"], ["/w/a.py"])
+    assert (second.user_message, second.assistant_response) == ("Second?", "Whole")
+    assert got["editor-s1"].responder == "Helper" and got["editor-s1"].workspace_id == "ws1"
+    assert got["editor-s2"].turns[0].assistant_response == "plain"
+    (w,) = V.workspaces(spark, str(tmp_path)).collect()
+    assert (w.workspace_id, w.repository) == ("ws1", "my shop")
+
+
+def test_uploads(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from talkatlas.sources import uploads as U
+
+    (tmp_path / "a.txt").write_bytes("# Tïtle\nbody".encode())
+    (tmp_path / "b.txt").write_bytes("caf\xe9".encode("latin-1"))
+    (tmp_path / "c.bin").write_bytes(b"x" * 100)
+    docs = {r.filename: r for r in U.documents(spark, str(tmp_path), "*.txt").collect()}
+    assert docs["a.txt"].title == "Tïtle" and docs["b.txt"].content == "café"
+    assert U.document_chunks(U.documents(spark, str(tmp_path), "a.txt")).count() == 1
+    kept = U.attachments(spark, str(tmp_path), 50)
+    assert kept.count() == 2 and U.verified(kept).count() == 2
+    assert U.verified(kept.withColumn("size_bytes", F.lit(1))).count() == 0
+    assert U.orphans(kept, kept.limit(1)).count() == 1
+
+
+def test_import(spark, tmp_path):
+    from talkatlas.sources import uploads as U
+
+    (tmp_path / "a.json").write_text(json.dumps({"platform": "robot", "conversation": [{"speaker": "user", "content": "Q"}]}))
+    read = lambda: R.flat_exports(spark, str(tmp_path), "robot")
+    other = lambda: R.flat_exports(spark, str(tmp_path), "nobody")
+    table, counts = U.import_exports(read().limit(0), [other, read])
+    assert counts == {"matched": 1, "added": 1, "updated": 0, "skipped": 0, "imported": 1} and table.count() == 1
+    assert U.import_exports(table, [read])[1]["skipped"] == 1
