@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkatlas.functions import embed as E
 from talkatlas.functions import text as X
+from talkatlas.functions import topics as T
 from talkatlas.operators import analytics as A
 from talkatlas.operators import lifecycle as L
 from talkatlas.operators import ranking as R
@@ -39,11 +40,7 @@ class Archive:
         chunks = parts.withColumn("chunk_id", F.xxhash64("session_id", "turn_index", "part")).withColumn("place", place)
         sampled = R.evenly_sampled(chunks, "session_id", "place", most)
         vectors = E.embed(sampled, "chunk_id", "content", dim).join(sampled.select("chunk_id", "session_id"), "chunk_id")
-        words = chunks.select("session_id", F.explode(X.words(F.col("content"))).alias("tag")).where(F.length("tag").between(4, X.TAG_CHARS))
-        counted = words.groupBy("session_id", "tag").agg(F.count(F.lit(1)).alias("c"))
-        top = R.cap_per_group(counted, "session_id", [F.desc("c"), F.asc("tag")], 6)
-        most_of = F.max("c").over(Window.partitionBy("session_id"))
-        tags = top.select("session_id", "tag", F.round(F.col("c") / most_of, 3).alias("score"), F.lit(0).alias("manual"))
+        tags = T.keyphrases(T.segments(sessions)).select(F.col("id").alias("session_id"), "tag", "score", F.lit(0).alias("manual"))
         return cls(sessions, chunks, vectors, tags, disabled, dim)
 
     # --- scopes ---------------------------------------------------------------------
