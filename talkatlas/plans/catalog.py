@@ -768,3 +768,26 @@ def _(s, d):
 
     out = I.sessions(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", "user_id")
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+# --- feature hashing in SQL (md5 for the hash, the sign from the bucket) -------------------
+
+
+@query(
+    "hash_embed_md5",
+    f"""WITH t AS (SELECT item_id, list_filter({_WORDS.format('text')}, lambda w: length(w) > 1) AS w FROM benchmark),
+    k AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS t FROM t),
+    b AS (SELECT item_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS bucket, count(*) AS c FROM k GROUP BY ALL),
+    v AS (SELECT item_id, bucket, CASE WHEN CAST('0x' || substr(md5(CAST(bucket AS VARCHAR)), 1, 2) AS BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END * (1 + ln(c)) AS x FROM b)
+    SELECT item_id, bucket, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS value FROM v""",
+)
+def _(s, d):
+    w = table(s, d, "benchmark").select("item_id", F.explode(F.array(F.filter(X.words(F.col("text")), lambda x: F.length(x) > 1))).alias("w"))
+    pairs = F.transform(X.bigrams(F.col("w")), lambda p: F.replace(p, F.lit(" "), F.lit("_")))
+    tokens = w.select("item_id", F.explode(F.concat("w", pairs)).alias("t"))
+    hexed = lambda c, n: F.conv(F.substring(F.md5(c.cast("binary")), 1, n), 16, 10).cast("long")
+    counts = tokens.groupBy("item_id", (hexed(F.col("t"), 8) % 64).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    sign = F.when(hexed(F.col("bucket").cast("string"), 2) % 2 == 1, 1.0).otherwise(-1.0)
+    x = counts.withColumn("x", sign * (1 + F.log("c")))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("item_id")))
+    return x.select("item_id", "bucket", F.round(F.col("x") / norm, 6).alias("value"))
