@@ -1,4 +1,4 @@
-"""Line dedup: an exact set-similarity join of all lines.
+"""Line dedup: an exact set-similarity join of all lines, in DataFrame functions only.
 
 A line's tokens are its distinct five-word shingles (a shorter line is one token);
 a line is removed if an earlier line (smaller doc_id, or the same document and an
@@ -11,17 +11,13 @@ on the input. Lines without words are never matched.
    of all tokens, rare ones first, which is all that a prefix filter needs to be exact.
 2. Each line becomes the identity of its words (two 64-bit hashes) and the prefix of its
    tokens in that order. Equal lines are grouped: all but the first go.
-3. Two similar lines share a token within their prefixes. Tokens that several lines of
-   one batch share are found there; over batches a token is shuffled once a batch, so
-   a token in a third of all lines costs a row a batch. What only one line has is dropped.
+3. Two similar lines share a token within their prefixes. Tokens that only equal lines
+   have are dropped by one count that is aggregated before its shuffle.
 4. Prefix, length and positional filters make pairs, 128-bit parity bitmaps (a bound on the
    difference) thin them out, and the full token sets verify them. Each token's earliest and most central lines are tried first; only lines
    that have not matched yet are paired with the token's other earlier lines, so
    that a large group of similar lines costs a few pairs for each line.
 
-Steps 1 to 3 hash in Arrow batches; a form in DataFrame functions only gave the same rows
-but not within the check tool's limits (figures in the README).
-
 Defined results: null text stays null and has no lines; empty text is one line without
 words; rows with equal doc_id and equal text are one document (equal results); rows
 with equal doc_id and different texts are ordered by a hash of the text; a null doc_id
@@ -31,14 +27,12 @@ by `dedup_lines`; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels as K
 from .scratch import store
 
 SHINGLE = 5
@@ -53,192 +47,88 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _line_tokens(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, lines' first words, line offsets) where rows of text are cut at LF."""
-    feeds = np.flatnonzero(buf == 10) + 1
-    starts = np.sort(np.concatenate([offs[:-1], feeds]), kind="stable")
-    bounds = np.append(starts, offs[-1])
-    first, last, at = K.word_spans(buf, bounds, K.SPACED)
-    return K.word_hashes(buf, first, last, K.FOLDED), at, bounds
-
-
-def _sorted_tokens(words: np.ndarray, at: np.ndarray, k: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct tokens by line and rarity, lines' first tokens). classes: the sketch's rarity
-    classes; without them the order is by hash."""
-    grams = K.gram_hashes(words, k) >> K.U64(6)
-    if classes is not None and len(grams):
-        rare = K.sliding_min(classes[(words >> K.U64(64 - SKETCH)).astype(np.int64)], k)
-        grams |= rare.astype(K.U64) << K.U64(58)
-    size = np.diff(at)
-    line = np.repeat(np.arange(len(size)), np.maximum(size - k + 1, 0))
-    whole = np.arange(len(line)) - np.repeat(np.cumsum(np.maximum(size - k + 1, 0)) - np.maximum(size - k + 1, 0), np.maximum(size - k + 1, 0)) + at[line]
-    token = grams[whole]
-    short = np.flatnonzero((size > 0) & (size < k))
-    if len(short):
-        one = np.array([K.gram_hashes(words[at[i] : at[i + 1]], int(size[i]), salt=int(size[i]))[0] for i in short.tolist()], dtype=K.U64)
-        line, token = np.concatenate([line, short]), np.concatenate([token, one])
-    order = np.lexsort((token, line))
-    line, token = line[order], token[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-    line, token = line[new], token[new]
-    return token, np.searchsorted(line, np.arange(len(size) + 1))
-
-
-def _bitmaps(token: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of parity bits for each line: a token flips one of 128 bits. Two lines'
-    bitmaps differ in no more bits than their token sets in tokens."""
-    bit = K.U64(1) << (token & K.U64(63))
-    high = (token & K.U64(64)) > 0
-    out = []
-    for own in (~high, high):
-        sums = np.concatenate([np.where(own, bit, K.U64(0)), [K.U64(0)]])
-        each = np.bitwise_xor.reduceat(sums, np.minimum(begin[:-1], len(sums) - 1)) if len(begin) > 1 else np.zeros(0, K.U64)
-        out.append(np.where(np.diff(begin) > 0, each, K.U64(0)).view(np.int64))
-    return out[0], out[1]
-
-
-def rarity_classes(docs: DataFrame) -> np.ndarray:
+def _words(line: Column) -> Column:
+    """Words, A-Z lower-cased; the costlier clean-up only where a line needs it."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
+    low = F.when(odd, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line)
+
+    def cut(x: Column) -> Column:
+        gaps = (x == "") | F.contains(x, F.lit("  ")) | F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" "))
+        return F.when(gaps, F.array_remove(F.split(x, " "), "")).otherwise(F.split(x, " "))
+
+    return _let(low, cut)
+
+
+def _lower(text: Column) -> Column:
+    """A-Z only; a text without capitals beyond ASCII takes the fast way."""
+    plain = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - SKETCH).cast("int")
+
+
+def _word_hashes(line: Column) -> Column:
+    return F.transform(_words(line), lambda w: F.xxhash64(w))
+
+
+def rarity_classes(docs: DataFrame) -> list[int]:
     """For each of 2**SKETCH buckets of word hashes, the power of two of its count over all
     texts: 0 for the rarest. A fixed size, whatever the corpus."""
+    lines = docs.select(F.explode(F.split(_lower(F.col("text")), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+    out = [0] * (1 << SKETCH)
+    for r in counts:
+        out[r.b] = int(math.log2(r.c))
+    return out
+
+
+def _tokens(h: Column, k: int = SHINGLE, classes: Column | None = None) -> Column:
+    """Distinct tokens of an array of word hashes. With the sketch's classes a token begins with
+    its rarity, so that sorting puts rare ones first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH, np.int64)
-        for batch in batches:
-            whole, offs = K.text_buffer(batch.column(0))
-            for r0, r1 in K.doc_blocks(offs, 4 << 20):
-                buf = whole[offs[r0] : offs[r1]]
-                starts, ends, _ = K.word_spans(buf, offs[r0 : r1 + 1] - offs[r0], K.SPACED)
-                bucket = (K.word_hashes(buf, starts, ends, K.FOLDED) >> K.U64(64 - SKETCH)).astype(np.int64)
-                counts += np.bincount(bucket, minlength=len(counts))
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["b", "c"])
-
-    out = np.zeros(1 << SKETCH, np.int64)
-    for r in docs.select("text").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
-        out[r.b] = r.c
-    return np.log2(np.maximum(out, 1)).astype(np.uint8)
-
-
-def _identities(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each line's word sequence."""
-    out = []
-    for salt in (1, 2):
-        place = np.arange(len(words), dtype=K.U64) - np.repeat(at[:-1], np.diff(at)).astype(K.U64)
-        each = K.mix64((words + K.U64(salt)) * K.U64(0x9E3779B97F4A7C15) + K.mix64(place + K.U64(salt)))
-        sums = np.concatenate([[K.U64(0)], np.cumsum(each, dtype=K.U64)])
-        out.append(K.mix64(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(K.U64)).view(np.int64))
-    return out[0], out[1]
-
-
-def _line_table(keyed: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
+    def many(x: Column, ranks: Column | None) -> Column:
+        def one(i: Column) -> Column:
+            value = F.shiftrightunsigned(F.xxhash64(*[F.get(x, i + j) for j in range(k)]), 6)
+            return value if ranks is None else value.bitwiseOR(F.shiftleft(F.least(*[F.get(ranks, i + j) for j in range(k)]).cast("long"), 58))
+
+        return F.transform(F.sequence(F.lit(0), F.size(x) - k), one)
+
+    whole = F.array(F.shiftrightunsigned(F.xxhash64(F.size(h), h), 6))
+    if classes is None:
+        return F.array_distinct(F.when(F.size(h) >= k, many(h, None)).otherwise(whole))
+    ranked = _let(F.transform(h, lambda w: F.get(classes, _bucket(w))), lambda ranks: many(h, ranks))
+    return F.array_distinct(F.when(F.size(h) >= k, ranked).otherwise(whole))
+
+
+def _prefix_size(n: Column, percent: int) -> Column:
+    return (n - F.ceil(n * percent / 100) + 1).cast("int")
+
+
+def _line_table(keyed: DataFrame, percent: int) -> DataFrame:
     """k, th, no, c1, c2 (identity of the words), n (number of tokens), head (their prefix) of every line with words."""
-    shared = keyed.sparkSession.sparkContext.broadcast(rarity_classes(keyed))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, offs = K.text_buffer(batch.column(0))
-            ks, ths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for r0, r1 in K.doc_blocks(offs, 4 << 20):
-                own = offs[r0 : r1 + 1] - offs[r0]
-                words, at, bounds = _line_tokens(whole[offs[r0] : offs[r1]], own, k)
-                if not len(words):
-                    continue
-                # an empty row shares its offset with the next row's first line: it has no words
-                row = np.searchsorted(own, bounds[:-1], "right") - 1
-                first = np.searchsorted(bounds[:-1], own[:-1], "left")
-                first = np.maximum.accumulate(np.where(np.diff(own) > 0, np.searchsorted(bounds[:-1], own[:-1], "right") - 1, first))
-                number = np.arange(len(row)) - first[row]
-                c1, c2 = _identities(words, at)
-                token, begin = _sorted_tokens(words, at, k, shared.value)
-                n = np.diff(begin)
-                b0, b1 = _bitmaps(token, begin)
-                take = np.where(np.diff(at) >= k, n - -(-n * percent // 100) + 1, 0)
-                rank = np.arange(len(token)) - np.repeat(begin[:-1], n)
-                head = token[rank < np.repeat(take, n)].view(np.int64)
-                some = np.diff(at) > 0
-                ends = np.concatenate([[0], np.cumsum(take[some])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ks[r0:r1][row[some]]), pa.array(ths[r0:r1][row[some]]), pa.array(number[some].astype(np.int32)), pa.array(c1[some]), pa.array(c2[some]), pa.array(n[some].astype(np.int32)), pa.array(b0[some]), pa.array(b1[some]), K.list_array(head, ends, pa.int64())],
-                    names=[*_ID, "c1", "c2", "n", "b0", "b1", "head"],
-                )
-
-    return keyed.where(F.col("text").isNotNull()).select("text", "k", "th").mapInArrow(run, "k long, th long, no int, c1 long, c2 long, n int, b0 long, b1 long, head array<long>")
+    classes = F.split(F.lit(",".join(map(str, rarity_classes(keyed)))), ",").cast("array<tinyint>")
+    lines = keyed.select("k", "th", F.posexplode(F.split(_lower(F.col("text")), "\n")).alias("no", "line"))
+
+    def prefix(items: Column) -> Column:
+        # a line of fewer words than a token has only equal lines
+        return F.struct(F.size(items).alias("n"), F.slice(F.sort_array(items), F.lit(1), _prefix_size(F.size(items), percent)).alias("head"))
+
+    described = _let(
+        _word_hashes(F.col("line")),
+        lambda h: F.struct(F.size(h).alias("size"), F.xxhash64(h).alias("c1"), F.xxhash64(F.lit(1), h).alias("c2"), _let(_tokens(h, SHINGLE, classes), prefix).alias("p")),
+    )
+    none = F.array().cast("array<bigint>")
+    return lines.select(*_ID, described.alias("x")).where("x.size > 0").select(*_ID, "x.c1", "x.c2", "x.p.n", F.when(F.col("x.size") >= SHINGLE, F.col("x.p.head")).otherwise(none).alias("head"))
 
 
 def _shared_tokens(table: DataFrame) -> DataFrame:
     """item, c1, n, pos: the prefix tokens that two different lines or more have."""
-    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["key", "item", "c1", "x"]
-
-    def runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        return first, np.diff(np.append(first, len(t)))
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = batch.column(2)
-            t = heads.flatten().to_numpy()
-            if not len(t):
-                continue
-            at = heads.offsets.to_numpy()
-            size = np.diff(at)
-            c, n = np.repeat(batch.column(0).to_numpy(), size), np.repeat(batch.column(1).to_numpy(), size)
-            x = (n.astype(np.int64) << 32) | ((np.arange(len(t)) - np.repeat(at[:-1] - at[0], size)).astype(np.int64) << 2)
-            order = np.lexsort((c, t))
-            t, c, x = t[order], c[order], x[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c, x = t[new], c[new], x[new]
-            first, size = runs(t)
-            several = np.repeat(size > 1, size)
-            # the lowest bits: 0 the only line of this batch with the token, 1 one of several, 2 known to share it
-            ones = [t[first], t[first], c[first], x[first] | (size > 1)]
-            known = [K.mix64((c[several] ^ t[several]).view(np.uint64)).view(np.int64), t[several], c[several], x[several] | 2]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])) for a, b in zip(ones, known, strict=True)], names=names)
-
-    def judged(key: np.ndarray, item: np.ndarray, c: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        keep = np.zeros(len(key), bool)
-        if len(key):
-            kind = x & 3
-            keep = kind == 2
-            own = np.flatnonzero(~keep)
-            if len(own):
-                first, size = runs(key[own])
-                least, most = np.minimum.reduceat(c[own], first), np.maximum.reduceat(c[own], first)
-                # rows of several lines of one batch are there already as known ones
-                keep[own] = np.repeat((least != most) | (np.maximum.reduceat(kind[own], first) > 0), size) & (kind[own] == 0)
-        return pa.RecordBatch.from_arrays([pa.array(item[keep]), pa.array(c[keep]), pa.array((x[keep] >> 32).astype(np.int32)), pa.array(((x[keep] & 0xFFFFFFFF) >> 2).astype(np.int32))], names=["item", "c1", "n", "pos"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            own = [batch.column(i).to_numpy() for i in range(4)]
-            if rest is not None:
-                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
-            cut = int(np.searchsorted(own[0], own[0][-1], "left")) if len(own[0]) else 0
-            rest = [x[cut:] for x in own]
-            yield judged(*[x[:cut] for x in own])
-        if rest is not None:
-            yield judged(*rest)
-
-    rows = table.select("c1", "n", "head").mapInArrow(combine, "key long, item long, c1 long, x long")
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "item long, c1 long, n int, pos int")
-
-
-def _full_sets(lines: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """id, items of lines (id, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, offs = K.text_buffer(batch.column(1))
-            for r0, r1 in K.doc_blocks(offs, 4 << 20):
-                buf, own = whole[offs[r0] : offs[r1]], offs[r0 : r1 + 1] - offs[r0]
-                starts, ends, at = K.word_spans(buf, own, K.SPACED)
-                token, begin = _sorted_tokens(K.word_hashes(buf, starts, ends, K.FOLDED), at, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), K.list_array(token.view(np.int64), begin, pa.int64())], names=["id", "items"])
-
-    return lines.select("id", "line").mapInArrow(run, "id long, items array<long>")
+    rows = table.select("c1", "n", F.posexplode("head").alias("pos", "item"))
+    shared = rows.groupBy("item").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("item")
+    return rows.join(shared, "item").select("item", "c1", "n", "pos").distinct()
 
 
 def _fits(x: str, y: str, percent: int) -> Column:
@@ -281,9 +171,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(asked: DataFrame) -> DataFrame:
-    """id, items of the asked lines (numbers and ids by document); a text is cut once."""
-    lines = _let(F.split("text", "\n"), lambda own: F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get(own, a["no"]).alias("line"))))
-    return _full_sets(asked.select(F.explode(lines).alias("x")).select("x.id", "x.line"))
+    """id, items, and 128 parity bits b0 and b1 of the asked lines (numbers and ids by document);
+    a text is cut once. A token flips one bit, so two lines' bits differ in no more
+    places than their token sets in tokens."""
+    lines = _let(F.split(_lower(F.col("text")), "\n"), lambda own: F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get(own, a["no"]).alias("line"))))
+    each = asked.select(F.explode(lines).alias("x"))
+    sets = each.select("x.id", _let(_word_hashes(F.col("x.line")), lambda h: _tokens(h)).alias("items"))
+
+    def bits(high: int) -> Column:
+        own = F.filter("items", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) == high)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda b, t: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return sets.select("id", "items", bits(0).alias("b0"), bits(1).alias("b1"))
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -298,18 +197,13 @@ def _judge(docs: DataFrame, percent: int, digest: bool) -> DataFrame:
     keyed = docs.select(F.struct(*others).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64("text").alias("th"))
     table = store(_line_table(keyed, percent), "lines")
     own = F.struct(*_ID)
-    classes = table.groupBy("c1", "c2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("c"), F.any_value("b0").alias("b0"), F.any_value("b1").alias("b1"))
-    later = table.drop("head", "n", "b0", "b1").join(classes.where("c > 1"), ["c1", "c2"]).where(own != F.col("first")).groupBy("k", "th").agg(F.collect_set("no").alias("later"))
+    classes = table.groupBy("c1", "c2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("c"))
+    later = table.drop("head", "n").join(classes.where("c > 1"), ["c1", "c2"]).where(own != F.col("first")).groupBy("k", "th").agg(F.collect_set("no").alias("later"))
     shared = store(_shared_tokens(table), "shared")
     # candidates get dense numbers in the order of their places: short keys for what follows
-    found = classes.join(shared.select("c1").distinct(), "c1").select("c1", "first.k", "first.th", "first.no", "b0", "b1")
+    found = classes.join(shared.select("c1").distinct(), "c1").select("c1", "first.k", "first.th", "first.no")
     numbered = store(found.orderBy("k", "th", "no").withColumn("id", F.monotonically_increasing_id()), "numbered")
-    prefix = store(shared.join(numbered.select("c1", "id", "b0", "b1"), "c1").select("item", "id", "n", "pos", "b0", "b1"), "prefix")
-    led = store(_led(prefix, percent), "led")
-    # lines that a filter may still pair: those with a fitting leader, or a token of three lines or more
-    wide = prefix.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select("item")
-    wanted = led.select("id").unionByName(led.select(F.col("y").alias("id"))).unionByName(prefix.join(wide, "item", "left_semi").select("id")).distinct()
-    asked = numbered.join(wanted, "id").groupBy("k", "th").agg(F.collect_list(F.struct("no", "id")).alias("asked"))
+    asked = numbered.groupBy("k", "th").agg(F.collect_list(F.struct("no", "id")).alias("asked"))
     marked = keyed.join(later.join(asked, ["k", "th"], "full"), ["k", "th"], "left")
     none = F.array().cast("array<int>")
     is_open = F.col("asked").isNotNull()
@@ -326,6 +220,8 @@ def _judge(docs: DataFrame, percent: int, digest: bool) -> DataFrame:
     split = store(marked.select("row", "k", "th", *first, F.when(is_open, F.col("text")).alias("text"), "later", "asked"), "split")
     open_ = split.where(is_open).select("row", "k", "th", "text", "later", "asked")
     sets = store(_sets(open_), "sets")
+    prefix = store(shared.join(numbered.select("c1", "id"), "c1").join(sets.select("id", "b0", "b1"), "id").select("item", *_ROW).distinct(), "prefix")
+    led = store(_led(prefix, percent), "led")
     matched = store(_verified(led, sets, percent), "matched")
     similar = matched.unionByName(_verified(_others(prefix, matched, led, percent), sets, percent)).distinct()
     near = numbered.join(similar, "id").groupBy("k", "th").agg(F.collect_set("no").alias("near"))
