@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import store
+from .scratch import drop, store
 
 SHINGLE = 5
 #: Counters of the word sketch, as a power of two.
@@ -218,12 +218,15 @@ def _judge(docs: DataFrame, percent: int, digest: bool) -> DataFrame:
     first = [F.when(~is_open, c).alias(n) for c, n in zip(verdict(gone), ("n_lines", "n_removed", "done"), strict=True)]
     # a document without candidate lines is finished here; only the others' texts go on
     split = store(marked.select("row", "k", "th", *first, F.when(is_open, F.col("text")).alias("text"), "later", "asked"), "split")
+    drop(table)
     open_ = split.where(is_open).select("row", "k", "th", "text", "later", "asked")
     sets = store(_sets(open_), "sets")
     prefix = store(shared.join(numbered.select("c1", "id"), "c1").join(sets.select("id", "b0", "b1"), "id").select("item", *_ROW).distinct(), "prefix")
+    drop(shared)
     led = store(_led(prefix, percent), "led")
     matched = store(_verified(led, sets, percent), "matched")
-    similar = matched.unionByName(_verified(_others(prefix, matched, led, percent), sets, percent)).distinct()
+    similar = store(matched.unionByName(_verified(_others(prefix, matched, led, percent), sets, percent)).distinct(), "similar")
+    drop(sets, prefix, led, matched)
     near = numbered.join(similar, "id").groupBy("k", "th").agg(F.collect_set("no").alias("near"))
     some = open_.join(near, ["k", "th"], "left").withColumn("gone", F.array_union(F.coalesce("later", none), F.coalesce("near", none)))
     both = split.where(~is_open).select("row", "n_lines", "n_removed", "done").unionByName(some.select("row", *verdict(F.col("gone"))))

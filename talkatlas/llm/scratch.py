@@ -33,7 +33,17 @@ def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     (_KEPT if keep else _WRITTEN).append((spark, path))
     _sweep(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at__ = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    paths = {t.stored_at__ for t in tables}
+    gone = [x for x in _WRITTEN if x[1] in paths]
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] not in paths]
+    _delete(gone)
 
 
 def _sweep(spark: SparkSession) -> None:
