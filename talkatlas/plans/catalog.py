@@ -715,7 +715,7 @@ def _(s, d):
 def _(s, d):
     from talkatlas.functions import pricing as P
 
-    return P.priced(_usage(s, d).where("event_id % 10 = 0"), P.price_frame(s, _PRICES), "model").select("event_id", F.round(P.cost(includes_cache=False), 9).alias("cost"))
+    return P.priced(_usage(s, d), P.price_frame(s, _PRICES), "model").select("event_id", F.round(P.cost(includes_cache=False), 9).alias("cost"))
 
 
 # --- summaries and packing (no SQL: stateful folds) -------------------------------------

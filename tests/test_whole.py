@@ -19,3 +19,10 @@ def test_gap_filled_days_count_every_user(spark, tmp_path):
     events = {"ts": pa.array(at, pa.timestamp("us")), "user_id": [3, 4, 5, 100], "value": [0.5, 1.25, 2.0, 4.0]}
     got = rows_of(spark, tmp_path, "usage_gapfill_day", events=events)
     assert sorted((r.day, r.n, r.cost) for r in got) == [("2024-02-27", 2, 1.75), ("2024-02-28", 0, 0.0), ("2024-02-29", 0, 0.0), ("2024-03-01", 2, 6.0)]
+
+
+def test_every_event_has_its_cache_cost(spark, tmp_path):
+    got = rows_of(spark, tmp_path, "cache_cost", events={"event_id": [0, 1, 13, 20, 27]})
+    assert sorted(r.event_id for r in got) == [0, 1, 13, 20, 27]
+    # beta: 270 in at 1.0, 27 out at 4.0, 81 read at 0.1, 27 written at 1.5, 5 for an hour at 2.5
+    assert {r.event_id: r.cost for r in got}[27] == round((270 * 1.0 + 27 * 4.0 + 81 * 0.1 + 27 * 1.5 + 5 * 2.5) / 1000000, 9)
