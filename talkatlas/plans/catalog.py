@@ -176,7 +176,7 @@ _NULLED = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_ord
 
 @query("browse_oldest_nulls_last", f"SELECT o_orderkey, coalesce(strftime(moment, '%Y-%m-%d'), '') AS day FROM {_NULLED} ORDER BY moment ASC NULLS LAST, o_orderkey LIMIT 100")
 def _(s, d):
-    rows = table(s, d, "orders").where("o_custkey % 50 = 1").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("at"))
+    rows = table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("at"))
     return rows.orderBy(F.asc_nulls_last("at"), "o_orderkey").limit(100).select("o_orderkey", F.coalesce(F.date_format("at", "yyyy-MM-dd"), F.lit("")).alias("day"))
 
 

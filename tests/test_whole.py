@@ -26,3 +26,11 @@ def test_every_event_has_its_cache_cost(spark, tmp_path):
     assert sorted(r.event_id for r in got) == [0, 1, 13, 20, 27]
     # beta: 270 in at 1.0, 27 out at 4.0, 81 read at 0.1, 27 written at 1.5, 5 for an hour at 2.5
     assert {r.event_id: r.cost for r in got}[27] == round((270 * 1.0 + 27 * 4.0 + 81 * 0.1 + 27 * 1.5 + 5 * 2.5) / 1000000, 9)
+
+
+def test_oldest_orders_are_those_of_all_customers(spark, tmp_path):
+    n = 130
+    orders = {"o_orderkey": list(range(1, n + 1)), "o_custkey": list(range(n)), "o_orderdate": pa.array([dt.datetime(2024, 1, 1) + dt.timedelta(days=n - k) for k in range(n)], pa.timestamp("us"))}
+    got = rows_of(spark, tmp_path, "browse_oldest_nulls_last", orders=orders)
+    # every fifth date is made null and comes last, here beyond the page of 104 dated orders
+    assert [r.o_orderkey for r in got] == [k for k in range(n, 0, -1) if k % 5][:100]
