@@ -421,7 +421,7 @@ def _(s, d):
 
 @query("jaccard_pairs", f"WITH w AS (SELECT item_id, list_distinct({_WORDS.format('text')}) AS w FROM benchmark WHERE item_id < 60) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON b.item_id = a.item_id + 1")
 def _(s, d):
-    w = table(s, d, "benchmark").where("item_id < 60").select("item_id", X.words(F.col("text")).alias("w"))
+    w = table(s, d, "benchmark").select("item_id", X.words(F.col("text")).alias("w"))
     following = w.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
     return w.join(following, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.round(X.jaccard(F.col("w"), F.col("v")), 6).alias("similarity"))
 

@@ -34,3 +34,9 @@ def test_oldest_orders_are_those_of_all_customers(spark, tmp_path):
     got = rows_of(spark, tmp_path, "browse_oldest_nulls_last", orders=orders)
     # every fifth date is made null and comes last, here beyond the page of 104 dated orders
     assert [r.o_orderkey for r in got] == [k for k in range(n, 0, -1) if k % 5][:100]
+
+
+def test_neighbours_beyond_the_first_sixty_items(spark, tmp_path):
+    ids = [0, 1, 58, 59, 60, 61, 500, 501, 700]
+    got = rows_of(spark, tmp_path, "jaccard_pairs", benchmark={"item_id": ids, "text": ["a b" if i % 2 else "b c" for i in ids]})
+    assert sorted((r.a, r.b, r.similarity) for r in got) == [(a, a + 1, round(1 / 3, 6)) for a in (0, 58, 59, 60, 500)]
