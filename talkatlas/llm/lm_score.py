@@ -38,7 +38,7 @@ from .tables import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DISCOUNT = 0.75
-EM_ROUNDS = 2
+EM_ROUNDS = 3
 _LOWER = bytes(i + 32 if 65 <= i < 91 else i for i in range(256))
 _COLS = ["kind", "chunk", "doc_id", "held_out", "n_tokens", "codes", "word", "idx", "n_train"]
 
