@@ -389,7 +389,7 @@ def _(s, d):
 @query("topic_words", f"SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest({_WORDS.format('text')}) AS w FROM documents) WHERE length(w) > 2 GROUP BY ALL ORDER BY n DESC, lang, word LIMIT 200")
 def _(s, d):
     each = table(s, d, "documents").select("lang", F.explode(X.words(F.col("text"))).alias("word")).where(F.length("word") > 2)
-    return each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "word").limit(200)
+    return each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "word")
 
 
 @query(
@@ -399,7 +399,7 @@ def _(s, d):
 def _(s, d):
     w = table(s, d, "documents").select(F.explode(F.array(X.words(F.col("text")))).alias("w"))
     each = w.select(F.explode(X.bigrams(F.col("w"))).alias("bigram"))
-    return each.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "bigram").limit(200)
+    return each.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "bigram")
 
 
 @query(

@@ -40,3 +40,12 @@ def test_neighbours_beyond_the_first_sixty_items(spark, tmp_path):
     ids = [0, 1, 58, 59, 60, 61, 500, 501, 700]
     got = rows_of(spark, tmp_path, "jaccard_pairs", benchmark={"item_id": ids, "text": ["a b" if i % 2 else "b c" for i in ids]})
     assert sorted((r.a, r.b, r.similarity) for r in got) == [(a, a + 1, round(1 / 3, 6)) for a in (0, 58, 59, 60, 500)]
+
+
+def test_topics_have_all_words_and_bigrams(spark, tmp_path):
+    words = [f"word{i}" for i in range(250)]
+    documents = {"lang": ["en", "en", "de"], "text": [" ".join(words), " ".join(words), "selten"]}
+    got = {(r.lang, r.word): r.n for r in rows_of(spark, tmp_path, "topic_words", documents=documents)}
+    assert got == {("en", w): 2 for w in words} | {("de", "selten"): 1}
+    pairs = {r.bigram: r.n for r in rows_of(spark, tmp_path, "topic_bigrams", documents=documents)}
+    assert pairs == {f"{a} {b}": 2 for a, b in zip(words, words[1:])}
