@@ -1,7 +1,8 @@
 """Subword lattice: all segmentations of words into pieces of a given vocabulary.
 
-Scores are log probabilities; the forward recursion adds the paths in log space,
-for all words of one length at once."""
+Scores are log probabilities; the forward recursion adds the paths in log space, for all
+words of one length at once. A word of over LONG bytes goes alone through a recursion that keeps
+only as many sums as the longest piece has bytes."""
 
 from __future__ import annotations
 
@@ -11,8 +12,8 @@ import numpy as np
 
 from . import kernels as K
 
-#: Longest piece in bytes.
-LONGEST = 16
+#: Words of more bytes than this are walked one by one; fitting takes them in parts of it.
+LONG = 256
 _STEP = K.U64(0x9E3779B97F4A7C15 | 1)
 _BLOCK = 1 << 18
 
@@ -29,7 +30,7 @@ def existing_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         piece = sp.id_to_piece(i).replace("▁", "").encode()
-        if 0 < len(piece) <= LONGEST and not any(65 <= c < 91 for c in piece):
+        if piece and not any(65 <= c < 91 for c in piece):
             score = sp.get_score(i)
             best[piece] = max(best.get(piece, -np.inf), score)
     for c in range(256):
@@ -114,10 +115,43 @@ class Lattice:
 
     def score(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words))
-        for rows, block in by_length(words):
-            out[rows] = self.forward(block) if block.shape[1] else self.end
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for rows, block in by_length([words[i] for i in short]):
+            out[np.array(short)[rows]] = self.forward(block) if block.shape[1] else self.end
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.forward_long(w)
         return out
 
+    def forward_long(self, word: bytes) -> float:
+        """forward() of one word, in blocks; the sums in reach are scaled to stay in a double's range."""
+        sums = np.zeros(self.longest)  # of the last positions, newest first
+        sums[0], log = 1.0, 0.0
+        tail = np.zeros(self.longest, dtype=np.uint8)
+        for lo in range(0, len(word), 1 << 16):
+            part = np.frombuffer(word[lo : lo + (1 << 16)], dtype=np.uint8)
+            near = np.concatenate([tail, part])
+            h, odds = np.zeros(len(part), dtype=K.U64), np.zeros((len(part), self.longest))
+            power = K.U64(1)
+            for k in range(self.longest):  # piece of k + 1 bytes ending at each place
+                at = self.longest - k
+                h = h + K.RAW[near[at : at + len(part)]] * power
+                power = K.U64((int(power) * int(_STEP)) & ((1 << 64) - 1))
+                odds[:, k] = np.exp(self.logp[self._ids(K.mix64(h + K.U64(k + 1)))])
+                odds[: max(0, k - lo), k] = 0.0  # it would begin before the word
+            for row in odds:
+                total = float(row @ sums)
+                sums[1:] = sums[:-1]
+                sums[0] = total
+                top = float(sums.max())
+                if not 1e-100 < top < 1e100:
+                    if top == 0.0:
+                        return -np.inf
+                    sums /= top
+                    log += float(np.log(top))
+            tail = near[-self.longest :]
+        return float(np.log(sums[0])) + log + self.end if sums[0] > 0 else -np.inf
+
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers, byte matrix) of words of equal length, in blocks."""

@@ -5,13 +5,14 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkatlas.llm import lm_score, mixing, pii, quality, toxicity
-from talkatlas.llm.lattice import Lattice
+from talkatlas.llm import kernels, lm_score, mixing, pii, quality, toxicity
+from talkatlas.llm.lattice import Lattice, existing_vocabulary
 from talkatlas.llm.tables import fold, held_out
 
 
@@ -115,6 +116,66 @@ def test_lm_score(documents, corpus):
     assert [r.score for r in lm_score.score(documents([(1, "a")]).withColumn("held_out", F.lit(True))).collect()] == [None]
 
 
+def naive_lm(spark, docs, rows, held):
+    """Scores by plain dictionaries; the learned tables (components, pieces) are the operator's."""
+    marked = docs.withColumn("held_out", F.col("doc_id").isin(sorted(held)))
+    log_theta, log_pi = lm_score.fit_components(lm_score.profiles(marked))
+    tokens = {i: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), ""] for i, t in rows}
+    bucket = lambda w: int(lm_score._bucket(kernels.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), kernels.FOLDED))[0])
+    each = [Counter() for _ in log_pi]
+    for i, own in tokens.items():
+        if i not in held:
+            like = [log_pi[k] + sum(log_theta[bucket(w), k] for w in own[:-1]) for k in range(len(log_pi))]
+            each[int(np.argmax(like))].update(own)
+    count = sum(each, Counter())
+    kinds = spark.createDataFrame([(w,) for w in count], "word string")
+    lattice = lm_score.fit_pieces(kinds, *existing_vocabulary(lm_score.VOCABULARY))
+    n, d = sum(count.values()), lm_score.DISCOUNT
+    sub, out = {}, {}
+    for i, own in tokens.items():
+        total = []
+        for k, c in enumerate(each):
+            nk, log, seen = sum(c.values()), float(log_pi[k]), Counter()
+            for j, w in enumerate(own):
+                if w not in sub:
+                    sub[w] = math.exp(brute_lattice(lattice, w.encode()))
+                p = max(count[w] - d, 0) / n + d * len(count) / n * sub[w]
+                if nk:
+                    p = max(c[w] - d, 0) / nk + d * len(c) / nk * p
+                log += math.log((lm_score.STRENGTH * p + seen[w]) / (lm_score.STRENGTH + j))
+                seen[w] += 1
+            total.append(log)
+        out[i] = float(np.logaddexp.reduce(total)) / math.log(10)
+    return out
+
+
+def test_lm_score_is_the_naive_probability(spark, documents, corpus):
+    rows = [(i, t) for i, t in corpus if t is None or len(t) < 700] + [(900, "x y " * 40), (901, "Z")]
+    docs, held = documents(rows), {i for i, _ in rows if i % 5 == 1}
+    got = {r.doc_id: r.score for r in lm_score.score(docs.withColumn("held_out", F.col("doc_id").isin(sorted(held)))).collect()}
+    want = naive_lm(spark, docs, rows, held)
+    assert got == {i: pytest.approx(s, rel=1e-5, abs=1e-5) for i, s in want.items()}
+
+
+def test_lm_score_odd_rows(documents):
+    word = "ab" * 40_000
+    rows = [(1, "a b " * 30_000), (1, "a b " * 30_000), (2, word), (None, "a c"), (None, "a c"), (3, ""), (6, word)]
+    docs = documents(rows).withColumnsRenamed({"lang": "score", "source": "word"})
+    got = lm_score.score(docs.withColumn("held_out", F.col("doc_id").eqNullSafe(F.lit(6)))).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.n_tokens, r.score))
+    assert all(len(x) == 1 for x in by.values()) and {n for n, _ in by[1]} == {60_001}
+
+
+def test_long_words_have_the_same_probability():
+    lattice = Lattice(*existing_vocabulary(lm_score.VOCABULARY), math.log(0.2))
+    for word in (b"x", b"the", "naïveté".encode() * 30, b"abcde" * 20):
+        assert lattice.forward_long(word) == pytest.approx(brute_lattice(lattice, word))
+    assert lattice.score([b"ab" * 70_000, b"ab"])[0] == pytest.approx(70_000 * lattice.forward_long(b"ab" * 4000) / 4000, rel=1e-2)
+
+
 def test_mixing(documents):
     rows = [(i, f"t{i}", "big" if i % 3 else ("small" if i % 2 else None)) for i in range(300)] + [(7, "again", "big"), (None, None, "big")]
     docs = documents(rows).withColumnsRenamed({"lang": "rate", "n_chars": "replica"})
