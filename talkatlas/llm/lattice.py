@@ -15,6 +15,7 @@ from . import kernels as K
 #: Words of more bytes than this are walked one by one; fitting takes them in parts of it.
 LONG = 256
 _STEP = K.U64(0x9E3779B97F4A7C15 | 1)
+_PRINT = K.U64(0xD6E8FEB86659FD93)
 _BLOCK = 1 << 18
 
 
@@ -50,6 +51,9 @@ class Lattice:
         key = np.array([self._hash_one(p) for p in pieces], dtype=K.U64)
         self.tables = [np.full(1 << 20, len(pieces), dtype=np.int32) for _ in range(3)]
         self.keys = np.append(key, K.U64(0))
+        #: which 20-bit prints of a running hash some piece has: most stretches of a word have none
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[self._print(np.array([self._run(p) + len(p) & ((1 << 64) - 1) for p in pieces], dtype=K.U64))] = True
         left = np.arange(len(pieces))
         for t, table in enumerate(self.tables):
             slot = self._slot(key[left], t)
@@ -63,11 +67,19 @@ class Lattice:
         return ((key >> K.U64(44 - 20 * t)) & K.U64((1 << 20) - 1)).astype(np.int64)
 
     @staticmethod
-    def _hash_one(piece: bytes) -> int:
+    def _run(piece: bytes) -> int:
         h = 0
         for c in piece:
             h = (h * int(_STEP) + int(K.RAW[c])) & ((1 << 64) - 1)
-        return int(K.mix64(np.array([h + len(piece)], dtype=K.U64))[0])
+        return h
+
+    @classmethod
+    def _hash_one(cls, piece: bytes) -> int:
+        return int(K.mix64(np.array([cls._run(piece) + len(piece) & ((1 << 64) - 1)], dtype=K.U64))[0])
+
+    @staticmethod
+    def _print(h: np.ndarray) -> np.ndarray:
+        return ((h * _PRINT) >> K.U64(44)).astype(np.int64)
 
     def _ids(self, key: np.ndarray) -> np.ndarray:
         out = np.full(len(key), len(self.pieces), dtype=np.int32)
@@ -77,22 +89,34 @@ class Lattice:
             out[ok] = i[ok]
         return out
 
-    def edges(self, words: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """For each end j: the piece ids of words[:, i:j] for i = j-1, j-2, ... (rows are words)."""
-        values = K.RAW[words]
-        n, length = words.shape
+    def edges(self, words: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """For each end j: (begin, rows, piece ids) of the pieces words[rows, begin:j] (rows are words)."""
+        values = np.ascontiguousarray(K.RAW[words.T])
         running: list[np.ndarray] = []  # hash of words[:, i:j], newest first
-        for j in range(1, length + 1):
-            new = values[:, j - 1]
+        for j in range(1, words.shape[1] + 1):
+            new = values[j - 1]
             running = [new, *[h * _STEP + new for h in running[: self.longest - 1]]]
-            yield j, [self._ids(K.mix64(h + K.U64(k + 1))) for k, h in enumerate(running)]
+            found = []
+            for k, h in enumerate(running):
+                h = h + K.U64(k + 1)
+                rows = np.flatnonzero(self.maybe[self._print(h)])
+                if len(rows):
+                    ids = self._ids(K.mix64(h[rows]))
+                    real = ids < len(self.pieces)
+                    found.append((j - 1 - k, rows[real], ids[real]))
+            yield j, found
+
+    def _step(self, alpha: list[np.ndarray], found: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        total = np.full(n, -np.inf)
+        for i, rows, ids in found:
+            total[rows] = np.logaddexp(total[rows], alpha[i][rows] + self.logp[ids])
+        return total
 
     def forward(self, words: np.ndarray) -> np.ndarray:
         """Log of the summed probability of all segmentations of each row, with the end."""
-        n, length = words.shape
-        alpha = [np.zeros(n)]
-        for j, ids in self.edges(words):
-            alpha.append(np.logaddexp.reduce([alpha[j - 1 - k] + self.logp[i] for k, i in enumerate(ids)], axis=0))
+        alpha = [np.zeros(len(words))]
+        for j, found in self.edges(words):
+            alpha.append(self._step(alpha, found, len(words)))
             if j >= self.longest:
                 alpha[j - self.longest] = None  # no longer reached
         return alpha[-1] + self.end
@@ -101,17 +125,18 @@ class Lattice:
         """Adds each piece's expected uses over the rows to counts."""
         n, length = words.shape
         alpha, kept = [np.zeros(n)], []
-        for j, ids in self.edges(words):
-            kept.append(ids)
-            alpha.append(np.logaddexp.reduce([alpha[j - 1 - k] + self.logp[i] for k, i in enumerate(ids)], axis=0))
+        for _, found in self.edges(words):
+            kept.append(found)
+            alpha.append(self._step(alpha, found, n))
         beta = [np.full(n, -np.inf) for _ in range(length)] + [np.zeros(n)]
+        uses, which = [], []
         for j in range(length, 0, -1):
-            for k, i in enumerate(kept[j - 1]):
-                path = self.logp[i] + beta[j]
-                s = j - 1 - k
-                use = np.exp(alpha[s] + path - alpha[length])
-                counts += np.bincount(i, weights=use, minlength=len(counts))
-                beta[s] = np.logaddexp(beta[s], path)
+            for i, rows, ids in kept[j - 1]:
+                path = self.logp[ids] + beta[j][rows]
+                uses.append(np.exp(alpha[i][rows] + path - alpha[length][rows]))
+                which.append(ids)
+                beta[i][rows] = np.logaddexp(beta[i][rows], path)
+        counts += np.bincount(np.concatenate(which), weights=np.concatenate(uses), minlength=len(counts))
 
     def score(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words))

@@ -67,10 +67,10 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, word starts, ends, rows' first words, word hashes) of blocks of a batch."""
     whole, offs = K.text_buffer(batch.column(column))
-    for r0, r1 in K.doc_blocks(offs, 16 << 20):
+    for r0, r1 in K.doc_blocks(offs, most):
         buf, own = whole[offs[r0] : offs[r1]], offs[r0 : r1 + 1] - offs[r0]
         starts, ends, at = K.word_spans(buf, own, K.SPACED)
         yield r0, r1, buf, starts, ends, at, K.word_hashes(buf, starts, ends, K.FOLDED)
@@ -85,7 +85,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, _, _, at, hashes in _blocks(batch, 0):
+            for _, _, _, _, _, at, hashes in _blocks(batch, 0, 1 << 20):
                 bucket = _bucket(hashes)
                 idx, n, size = [], [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -104,8 +104,11 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def likelihoods(idx: np.ndarray, n: np.ndarray, at: np.ndarray, log_theta: np.ndarray, log_pi: np.ndarray) -> np.ndarray:
     """Log probability of each row's hashed counts and component (rows x components)."""
-    each = np.concatenate([np.zeros((1, len(log_pi))), np.cumsum(log_theta[idx] * n[:, None], axis=0)])
-    return each[at[1:]] - each[at[:-1]] + log_pi
+    out = np.zeros((len(at) - 1, len(log_pi)))
+    full = np.flatnonzero(at[1:] > at[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(log_theta[idx] * n[:, None], at[full], axis=0)
+    return out + log_pi
 
 
 def fit_components(rows: DataFrame, components: int = COMPONENTS, rounds: int = COMPONENT_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +208,21 @@ def _cut(docs: DataFrame, log_theta: np.ndarray, log_pi: np.ndarray) -> DataFram
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]]:
+    """The first column's texts, about `most` at a time or 4 MB."""
+    words: list[bytes] = []
+    size = 0
+    for batch in batches:
+        new = batch.column(0).cast(pa.binary()).to_pylist()
+        words += new
+        size += sum(map(len, new))
+        if len(words) >= most or size >= 4 << 20:
+            yield words
+            words, size = [], 0
+    if words:
+        yield words
+
+
 def fit_pieces(kinds: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = EM_ROUNDS) -> Lattice:
     """EM over all distinct training words (column word), each once; long ones in parts."""
     end = float(np.log(0.2))
@@ -215,8 +233,7 @@ def fit_pieces(kinds: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*shared.value)
             counts, n = np.zeros(len(lattice.logp)), 0
-            for batch in batches:
-                words = batch.column(0).cast(pa.binary()).to_pylist()
+            for words in _gathered(batches, 1 << 16):
                 n += len(words)
                 if any(len(w) > LONG for w in words):
                     words = [w[a : a + LONG] for w in words for a in range(0, max(1, len(w)), LONG)]
