@@ -48,12 +48,18 @@ class Lattice:
         self.pieces, self.end = pieces, end
         self.logp = np.append(logp, -np.inf)  # the last stands for no piece
         self.longest = max(map(len, pieces))
-        key = np.array([self._hash_one(p) for p in pieces], dtype=K.U64)
+        sums = np.zeros(len(pieces), dtype=K.U64)
+        for rows, block in by_length(pieces):
+            h = np.zeros(len(rows), dtype=K.U64)
+            for column in block.T:
+                h = h * _STEP + K.RAW[column]
+            sums[rows] = h + K.U64(block.shape[1])
+        key = K.mix64(sums)
         self.tables = [np.full(1 << 20, len(pieces), dtype=np.int32) for _ in range(3)]
         self.keys = np.append(key, K.U64(0))
         #: which 20-bit prints of a running hash some piece has: most stretches of a word have none
         self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self._print(np.array([self._run(p) + len(p) & ((1 << 64) - 1) for p in pieces], dtype=K.U64))] = True
+        self.maybe[self._print(sums)] = True
         left = np.arange(len(pieces))
         for t, table in enumerate(self.tables):
             slot = self._slot(key[left], t)
@@ -66,17 +72,6 @@ class Lattice:
     def _slot(key: np.ndarray, t: int) -> np.ndarray:
         return ((key >> K.U64(44 - 20 * t)) & K.U64((1 << 20) - 1)).astype(np.int64)
 
-    @staticmethod
-    def _run(piece: bytes) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(_STEP) + int(K.RAW[c])) & ((1 << 64) - 1)
-        return h
-
-    @classmethod
-    def _hash_one(cls, piece: bytes) -> int:
-        return int(K.mix64(np.array([cls._run(piece) + len(piece) & ((1 << 64) - 1)], dtype=K.U64))[0])
-
     @staticmethod
     def _print(h: np.ndarray) -> np.ndarray:
         return ((h * _PRINT) >> K.U64(44)).astype(np.int64)

@@ -67,7 +67,7 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _blocks(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batch: pa.RecordBatch, column: int, most: int = 12 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, word starts, ends, rows' first words, word hashes) of blocks of a batch."""
     whole, offs = K.text_buffer(batch.column(column))
     for r0, r1 in K.doc_blocks(offs, most):
@@ -163,12 +163,11 @@ def fit_components(rows: DataFrame, components: int = COMPONENTS, rounds: int =
 
 
 def _cut(docs: DataFrame, log_theta: np.ndarray, log_pi: np.ndarray) -> DataFrame:
-    """kind 0: a batch's vocabulary, with its uses in training texts by component; kind 1: its
-    documents as (sorted numbers, counts)."""
+    """kind 0: a batch's vocabulary, a row for each word and component whose training texts use it (a row for a
+    word that none uses; the first row of each word is marked); kind 1: its documents as (sorted numbers, counts)."""
     components = len(log_pi)
-    uses = [f"t{k}" for k in range(components)]
-    fields = [("kind", T.IntegerType()), ("chunk", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("codes", T.BinaryType()), ("word", T.StringType()), ("idx", T.IntegerType())]
-    schema = T.StructType([T.StructField(n, t) for n, t in fields] + [T.StructField(n, T.LongType()) for n in uses])
+    fields = [("kind", T.IntegerType()), ("chunk", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("codes", T.BinaryType()), ("word", T.StringType()), ("idx", T.IntegerType()), ("part", T.IntegerType()), ("uses", T.LongType()), ("first", T.BooleanType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
     names = schema.names
     shared = docs.sparkSession.sparkContext.broadcast((log_theta, log_pi))
 
@@ -195,32 +194,40 @@ def _cut(docs: DataFrame, log_theta: np.ndarray, log_pi: np.ndarray) -> DataFram
                         z = int(np.argmax(likelihoods(bucket[k], c, np.array([0, len(k)]), theta, pi)[0]))
                         train[z, k] += c
                         train[z, -1] += 1
+                at_word, part = np.nonzero(train.T)
+                unused = np.flatnonzero(~train.any(0))
+                place = np.concatenate([at_word, unused])
+                part = np.concatenate([part, np.zeros(len(unused), np.int64)])
+                first_row = np.concatenate([np.diff(at_word, prepend=-1) != 0, np.ones(len(unused), bool)])
+                n = len(place)
                 blank = lambda n, t: pa.nulls(n, t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, serial)), blank(m, batch.column(0).type), blank(m, pa.bool_()), blank(m, pa.int64()), blank(m, pa.binary()), pa.array(words, pa.string()), pa.array(np.arange(m, dtype=np.int32)), *[pa.array(x) for x in train]],
+                    [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, serial)), blank(n, batch.column(0).type), blank(n, pa.bool_()), blank(n, pa.int64()), blank(n, pa.binary()), pa.array(words, pa.string()).take(pa.array(place)), pa.array(place.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(train[part, place]), pa.array(first_row)],
                     names=names,
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(rows, np.int32)), pa.array(np.full(rows, serial)), batch.column(0).slice(r0, rows), batch.column(2).slice(r0, rows), pa.array(np.diff(at) + 1), pa.array(codes, pa.binary()), blank(rows, pa.string()), blank(rows, pa.int32()), *[blank(rows, pa.int64())] * components],
+                    [pa.array(np.ones(rows, np.int32)), pa.array(np.full(rows, serial)), batch.column(0).slice(r0, rows), batch.column(2).slice(r0, rows), pa.array(np.diff(at) + 1), pa.array(codes, pa.binary()), blank(rows, pa.string()), blank(rows, pa.int32()), blank(rows, pa.int32()), blank(rows, pa.int64()), blank(rows, pa.bool_())],
                     names=names,
                 )
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[bytes]]:
-    """The first column's texts, about `most` at a time or 4 MB."""
-    words: list[bytes] = []
-    size = 0
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Larger batches of about `most` rows or 8 MB, with the first column's texts."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        new = batch.column(0).cast(pa.binary()).to_pylist()
-        words += new
-        size += sum(map(len, new))
-        if len(words) >= most or size >= 4 << 20:
-            yield words
-            words, size = [], 0
-    if words:
-        yield words
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most or sum(b.nbytes for b in held) >= 8 << 20:
+            yield _joined(held)
+            held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[bytes]]:
+    one = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 and sum(b.num_rows for b in held) else held[0]
+    return one, one.column(0).cast(pa.binary()).to_pylist()
 
 
 def fit_pieces(kinds: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds: int = EM_ROUNDS) -> Lattice:
@@ -233,7 +240,7 @@ def fit_pieces(kinds: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*shared.value)
             counts, n = np.zeros(len(lattice.logp)), 0
-            for words in _gathered(batches, 1 << 16):
+            for _, words in _gathered(batches):
                 n += len(words)
                 if any(len(w) > LONG for w in words):
                     words = [w[a : a + LONG] for w in words for a in range(0, max(1, len(w)), LONG)]
@@ -279,8 +286,9 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS
     drop(counted)
     cut = store(_cut(docs, log_theta, log_pi), "cut")
     uses = [f"t{k}" for k in range(components)]
-    vocab = cut.where("kind = 0").select("chunk", "idx", "word", *uses)
-    words = store(vocab.groupBy("word").agg(F.count(F.lit(1)).alias("batches"), *[F.sum(t).alias(t) for t in uses]), "words")
+    vocab = cut.where("kind = 0")
+    of = [F.sum(F.when(F.col("part") == k, F.col("uses")).otherwise(0)).alias(t) for k, t in enumerate(uses)]
+    words = store(vocab.groupBy("word").agg(F.count_if("first").alias("batches"), *of), "words")
     total = words.agg(*[F.sum(t).alias(t) for t in uses], *[F.count_if(F.col(t) > 0).alias(f"v{t}") for t in uses], F.count_if(sum((F.col(t) for t in uses), F.lit(0)) > 0).alias("v")).first()
     nk = np.array([total[t] or 0 for t in uses], dtype=np.float64)
     vk = np.array([total[f"v{t}"] or 0 for t in uses], dtype=np.float64)
@@ -291,34 +299,38 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
-        kept = np.where(nk > 0, np.maximum(nk, 1), 1)
-        spread = np.log(np.where(nk > 0, np.maximum(DISCOUNT * vk, 1e-300) / kept, 1.0))
-        for batch in batches:
-            ck = np.stack([batch.column(2 + k).to_numpy().astype(np.float64) for k in range(components)], axis=1)
-            c = ck.sum(1)
-            sub = lattice.score(batch.column(0).cast(pa.binary()).to_pylist())
+        for batch, texts in _gathered(batches):
+            c = sum(batch.column(2 + k).to_numpy() for k in range(components)).astype(np.float64)
+            sub = lattice.score(texts)
             with np.errstate(divide="ignore"):
                 whole = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / max(n, 1)), math.log(max(DISCOUNT * v, 1e-300) / max(n, 1)) + sub)
-                model = np.logaddexp(np.log(np.where(nk > 0, np.maximum(ck - DISCOUNT, 0) / kept, 0.0)), spread + whole[:, None])
-            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(c > 0), pa.array(base), *[pa.array(model[:, k].astype(np.float32)) for k in range(components)]],
-                names=["word", "batches", "known", "base", *[f"m{k}" for k in range(components)]],
-            )
-
-    logs = [f"m{k}" for k in range(components)]
-    weighed = store(words.select("word", "batches", *uses).mapInArrow(weigh, "word string, batches long, known boolean, base double, " + ", ".join(f"{m} float" for m in logs)), "weighed")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole.astype(np.float32))], names=["word", "batches", *uses, "whole"])
+
+    facts = [*uses, "whole"]
+    weighed = store(words.select("word", "batches", *uses).mapInArrow(weigh, "word string, batches long, " + ", ".join(f"{t} long" for t in uses) + ", whole float"), "weighed")
+    drop(words)
     hot = F.broadcast(weighed.where("batches > 1").orderBy(F.desc("batches"), "word").limit(MOST_HOT).drop("batches"))
-    asked = vocab.select("chunk", "idx", "word")
+    asked = vocab.where("first").select("chunk", "idx", "word")
     found = asked.join(hot, "word").unionByName(asked.join(hot.select("word"), "word", "left_anti").join(weighed.drop("batches"), "word"))
 
     blank = lambda t, c: F.lit(None).cast(t).alias(c)
     id_type = docs.schema["doc_id"].dataType
-    left = found.select("chunk", F.lit(0).alias("kind"), "idx", blank(id_type, "doc_id"), blank("boolean", "held_out"), blank("long", "n_tokens"), blank("binary", "codes"), "known", "base", *logs)
-    right = cut.where("kind = 1").select("chunk", "kind", F.lit(0).alias("idx"), "doc_id", "held_out", "n_tokens", "codes", blank("boolean", "known"), blank("double", "base"), *[blank("float", m) for m in logs])
+    left = found.select("chunk", F.lit(0).alias("kind"), "idx", blank(id_type, "doc_id"), blank("boolean", "held_out"), blank("long", "n_tokens"), blank("binary", "codes"), *facts)
+    right = cut.where("kind = 1").select("chunk", "kind", F.lit(0).alias("idx"), "doc_id", "held_out", "n_tokens", "codes", *[blank("long", t) for t in uses], blank("float", "whole"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = left.unionByName(right).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "idx")
 
+    kept = np.maximum(nk, 1)
+    spread = np.log(np.where(nk > 0, np.maximum(DISCOUNT * vk, 1e-300) / kept, 1.0))
+
+    def inside(ck: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """known, base, and log probability in each component, of words with these counts."""
+        c = ck.sum(1)
+        model = spread + whole[:, None]
+        row, k = np.nonzero(ck)
+        model[row, k] = np.logaddexp(model[row, k], np.log((ck[row, k] - DISCOUNT) / kept[k]))
+        return (c > 0).astype(np.int64), np.log10((c + 0.5) / (n + 0.5 * (v + 1))), model
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tables, parts_ = None, None, []
         for batch in batches:
@@ -328,11 +340,11 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS
                 if chunk[a] != now:
                     now, tables, parts_ = chunk[a], None, []
                 if kind[a] == 0:
-                    parts_.append([batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in range(7, 9 + components)])
+                    parts_.append([batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in range(7, 8 + components)])
                     continue
                 if tables is None:
-                    known, base, *model = (np.concatenate(x) for x in zip(*parts_, strict=True))
-                    tables, parts_ = (known.astype(np.int64), base, np.stack(model, axis=1).astype(np.float64)), []
+                    *own, whole = (np.concatenate(x) for x in zip(*parts_, strict=True))
+                    tables, parts_ = inside(np.stack(own, axis=1).astype(np.float64), whole.astype(np.float64)), []
                 known, base, model = tables
                 out = [[], [], []]
                 for cell in batch.column(6).slice(a, b - a):
