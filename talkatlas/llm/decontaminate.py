@@ -1,256 +1,274 @@
-"""Benchmark decontamination by a document-partitioned positional inverted index.
-
-Training tokens are indexed where they lie: each block of documents becomes one
-shard that holds, for every term of the benchmark, the list of its positions.
-A benchmark window is looked up from its rarest term: that term's list, adjusted
-by the term's offset in the window, is intersected with the offset-adjusted lists
-of the other terms in order of rarity; what is left are exact phrase matches.
-Proximity matches take each place of the rarest term and ask every other term's
-list for a position within `slop` words. No training row is shuffled.
-
-The benchmark is the query set: it is read item by item and broadcast in blocks
-of at most `block_words` words, so neither the driver nor a task ever holds more
-of it than one block.
-
-Defined results: a null or empty text has no words and no hits; rows of the
-benchmark that are null or have no words are ignored; repeated item_ids count
-once; repeated documents are each judged; extra columns are carried along by
-`drop_contaminated` and ignored by `find_overlaps`; an empty benchmark or an
-empty document table gives no hits or no rows.
+"""Benchmark decontamination by a stored, distributed positional inverted index.
+
+1. Postings. Every training token goes into the index: documents are dealt into blocks as they lie,
+   and a row of the index holds a term, a block, the number of its occurrences there and their positions
+   (word numbers of the block, delta coded). A further row for each block keeps its documents and where
+   they begin. The index is a table in the shared folder; `build_index` may be kept and asked again.
+2. Windows. The benchmark's distinct windows are rows with their terms and offsets, and a table of
+   their owners. The index's rows of benchmark terms are selected by a semi-join.
+3. The rarest term of a window, by occurrences in the whole index, is found by an aggregate;
+   windows with a term that the index lacks go. Joining the rarest term's rows gives, for each
+   window, the blocks that can hold it: no others ever see it.
+4. In a block, the positions of the rarest term, less its offset, are intersected with the
+   offset-adjusted lists of the other terms in order of rarity: exact phrase matches. Proximity
+   matches are the positions of the rarest term around which some `n + slop` consecutive words of one
+   document hold every term of the window.
+
+Every step is a join or an aggregate whose strategy Spark picks by size; nothing of the benchmark or of
+the index comes to the driver or is broadcast by hand. A term of all blocks has one bounded row in
+each of them, so a hot term is spread over as many rows as there are blocks.
+
+Defined results: a null or empty text has no words and no hits; rows of the benchmark that are
+null or have no words are ignored; repeated item_ids count once, a null one counts as the empty
+text; repeated documents (equal or null ids) are each judged; a very long text is a block of its own;
+columns of any name are carried by `drop_contaminated` and ignored by `find_overlaps`; an
+empty benchmark gives no hits, an empty document table no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
+from .scratch import store
 
-#: Words of the benchmark in one broadcast block (8 bytes each and little more).
-BLOCK_WORDS = 1 << 20
-_CANDIDATES = 1 << 21
-
-
-@dataclass
-class QueryBlock:
-    """Windows of one block of benchmark items, as numbers of its vocabulary."""
-
-    vocab: np.ndarray  # sorted 64-bit word hashes
-    terms: np.ndarray  # windows x n, -1 beyond a short item
-    lengths: np.ndarray
-    owner_at: np.ndarray  # windows + 1: where each window's items start
-    owners: np.ndarray  # item numbers
-    items: list[str]
-
-
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    buf, offs = K.text_buffer(pa.array(texts, pa.string()))
-    starts, ends, at = K.word_spans(buf, offs, K.ALNUM)
-    return K.word_hashes(buf, starts, ends, K.FOLDED), at
-
-
-def compile_block(items: list[tuple[str, str | None]], n: int) -> QueryBlock | None:
-    """The distinct windows of n consecutive words (all words of a shorter item)."""
-    ids = sorted({i for i, _ in items})
-    number = {x: k for k, x in enumerate(ids)}
-    words, at = _words([t for _, t in items])
-    vocab, term = np.unique(words, return_inverse=True)
-    windows: dict[tuple[int, ...], set[int]] = {}
-    for (item, _), a, b in zip(items, at[:-1], at[1:], strict=True):
-        own = term[a:b].tolist()
-        for i in range(max(1, len(own) - n + 1) if own else 0):
-            windows.setdefault(tuple(own[i : i + n]), set()).add(number[item])
-    if not windows:
-        return None
-    terms = np.full((len(windows), n), -1, dtype=np.int64)
-    for k, w in enumerate(windows):
-        terms[k, : len(w)] = w
-    owners = [sorted(x) for x in windows.values()]
-    return QueryBlock(vocab, terms, (terms >= 0).sum(1), np.cumsum([0, *map(len, owners)]), np.concatenate(owners).astype(np.int64), ids)
-
-
-def query_blocks(bench: DataFrame, n: int, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast blocks of the benchmark, read partition by partition."""
-    sc = bench.sparkSession.sparkContext
-    out, items, size = [], [], 0
-
-    def close() -> None:
-        if items and (block := compile_block(items, n)):
-            out.append(sc.broadcast(block))
-
-    rows = bench.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    for row in rows.toLocalIterator():
-        items.append((row.i or "", row.t))
-        size += len(row.t) // 2 + 1
-        if size >= block_words:
-            close()
-            items, size = [], 0
-    close()
-    return out
-
-
-class Shard:
-    """Positional postings of a block of documents, for the terms of a query block."""
-
-    def __init__(self, hashes: np.ndarray, doc_at: np.ndarray, vocab: np.ndarray):
-        seen = np.zeros(1 << 16, dtype=bool)
-        seen[(vocab & K.U64(0xFFFF)).astype(np.int64)] = True
-        maybe = np.flatnonzero(seen[(hashes & K.U64(0xFFFF)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(vocab, hashes[maybe]), len(vocab) - 1)
-        real = vocab[k] == hashes[maybe]
-        place, term = maybe[real], k[real]
-        order = np.argsort(term, kind="stable")
-        #: positions of term t: self.positions[self.list_at[t]:self.list_at[t + 1]], ascending
-        self.positions = place[order]
-        self.list_at = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(vocab)))])
-        #: the same postings by position, so that membership in a list is one look-up
-        self.term_at = np.full(len(hashes), -1, dtype=np.int32)
-        self.term_at[place] = term
-        self.doc_at = doc_at
-
-    def frequency(self, terms: np.ndarray) -> np.ndarray:
-        f = self.list_at[terms + 1] - self.list_at[terms]
-        return np.where(terms < 0, np.iinfo(np.int64).max, f)
-
-    def phrases(self, q: QueryBlock) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position of its first word) of every exact occurrence inside one document."""
-        n = q.terms.shape[1]
-        freq = self.frequency(q.terms)
-        alive = np.flatnonzero(freq.min(1) > 0)
-        rank = np.argsort(freq[alive], axis=1, kind="stable")
-        count = freq[alive, rank[:, 0]]
-        found = []
-        ends = np.cumsum(count)
-        a = 0
-        while a < len(alive):
-            base = ends[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, base + _CANDIDATES, "right")))
-            own = np.repeat(np.arange(a, b), count[a:b])
-            rare = rank[own, 0]
-            within = np.arange(len(own)) - np.repeat(ends[a:b] - count[a:b] - base, count[a:b])
-            at = self.positions[self.list_at[q.terms[alive[own], rare]] + within] - rare
-            doc = np.searchsorted(self.doc_at, at + rare, "right") - 1
-            keep = (at >= self.doc_at[doc]) & (at + q.lengths[alive[own]] <= self.doc_at[doc + 1])
-            own, at = own[keep], at[keep]
-            for r in range(1, n):
-                j = rank[own, r]
-                term = q.terms[alive[own], j]
-                ok = term < 0
-                ok[~ok] = self.term_at[(at + j)[~ok]] == term[~ok]
-                own, at = own[ok], at[ok]
-            found.append((alive[own], at))
-            a = b
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
-    def proximity(self, q: QueryBlock, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position of its rarest term) where every other term lies within slop words, in one document."""
-        freq = self.frequency(q.terms)
-        alive = np.flatnonzero(freq.min(1) > 0)
-        out_w, out_p = [], []
-        for w in alive:
-            terms = np.unique(q.terms[w][q.terms[w] >= 0])
-            terms = terms[np.argsort(self.list_at[terms + 1] - self.list_at[terms], kind="stable")]
-            at = self.positions[self.list_at[terms[0]] : self.list_at[terms[0] + 1]]
-            doc = np.searchsorted(self.doc_at, at, "right") - 1
-            lo, hi = np.maximum(at - slop, self.doc_at[doc]), np.minimum(at + slop + 1, self.doc_at[doc + 1])
-            for t in terms[1:]:
-                own = self.positions[self.list_at[t] : self.list_at[t + 1]]
-                ok = np.searchsorted(own, lo) < np.searchsorted(own, hi)
-                at, lo, hi = at[ok], lo[ok], hi[ok]
-            out_w.append(np.full(len(at), w))
-            out_p.append(at)
-        if not out_w:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out_w), np.concatenate(out_p)
-
-
-def find_overlaps(docs: DataFrame, bench: DataFrame, n: int = 10, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside any occurring window),
-    item_ids (sorted as strings), hits (array of item-independent spans
-    [start, end) in words), and near_item_ids by proximity when slop is given."""
-    blocks = query_blocks(bench, n, block_words)
-    id_type = docs.schema["doc_id"].dataType
+#: Bytes of text in one block of the index.
+BLOCK = 4 << 20
+#: Proximity: every term within n + SLOP consecutive words.
+SLOP = 4
+
+
+def _decoded(code: bytes) -> np.ndarray:
+    """Ascending numbers from 32-bit deltas that lie byte by byte position (so that high zeros compress)."""
+    return np.cumsum(np.frombuffer(code, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
+
+
+def _index_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("block", T.LongType()),
+            T.StructField("term", T.LongType()),
+            T.StructField("uses", T.LongType()),
+            T.StructField("positions", T.BinaryType()),
+            T.StructField("ids", T.ArrayType(id_type)),
+            T.StructField("at", T.ArrayType(T.LongType())),
+        ]
+    )
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs (doc_id, text): postings (block, term, uses, positions) and, with a null
+    term, each block's documents (ids, at: word number where each begins, and the end)."""
+    schema = _index_schema(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = TaskContext.get().partitionId() << 24
         for batch in batches:
-            ids = batch.column(0)
             whole, offs = K.text_buffer(batch.column(1))
-            for r0, r1 in K.doc_blocks(offs):
-                buf, own = whole[offs[r0] : offs[r1]], offs[r0 : r1 + 1] - offs[r0]
-                starts, ends, at = K.word_spans(buf, own, K.ALNUM)
-                hashes = K.word_hashes(buf, starts, ends, K.FOLDED)
-                rows = r1 - r0
-                cover = np.zeros(len(hashes) + 1, dtype=np.int32)
-                items: list[set[str]] = [set() for _ in range(rows)] if blocks else []
-                near: list[set[str]] = [set() for _ in range(rows)] if blocks else []
-                for shared in blocks:
-                    q = shared.value
-                    if not len(hashes):
-                        break
-                    shard = Shard(hashes, at, q.vocab)
-                    w, p = shard.phrases(q)
-                    np.add.at(cover, p, 1)
-                    np.add.at(cover, p + q.lengths[w], -1)
-                    _note(items, np.searchsorted(at, p, "right") - 1, w, q)
-                    if slop is not None:
-                        w, p = shard.proximity(q, slop)
-                        _note(near, np.searchsorted(at, p, "right") - 1, w, q)
-                hit = np.cumsum(cover[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(hit)])
+            for r0, r1 in K.doc_blocks(offs, BLOCK):
+                serial += 1
+                starts, ends, at = K.word_spans(whole[offs[r0] : offs[r1]], offs[r0 : r1 + 1] - offs[r0], K.ALNUM)
+                hashes = K.word_hashes(whole[offs[r0] : offs[r1]], starts, ends, K.FOLDED)
+                order = np.argsort(hashes, kind="stable")
+                sorted_ = hashes[order]
+                edges = np.flatnonzero(np.diff(sorted_, prepend=~sorted_[:1])) if len(sorted_) else np.zeros(0, np.int64)
+                stops = np.append(edges, len(sorted_))[1:]
+                # deltas of all lists at once; a list's first number is itself
+                gaps = np.diff(order, prepend=0)
+                gaps[edges] = order[edges]
+                planes = gaps.astype("<u4").view(np.uint8).reshape(-1, 4)
+                cells = [planes[a:b].T.tobytes() for a, b in zip(edges.tolist(), stops.tolist(), strict=True)]
+                m = len(edges)
+                if m:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(m, serial)), pa.array(sorted_[edges].view(np.int64)), pa.array(stops - edges), pa.array(cells, pa.binary()), pa.nulls(m, pa.list_(batch.column(0).type)), pa.nulls(m, pa.list_(pa.int64()))],
+                        names=schema.names,
+                    )
+                ids = pa.ListArray.from_arrays(pa.array([0, r1 - r0], pa.int32()), batch.column(0).slice(r0, r1 - r0))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(r0, rows),
-                        pa.array(at[1:] - at[:-1], pa.int64()),
-                        pa.array(total[at[1:]] - total[at[:-1]], pa.int64()),
-                        pa.array([sorted(x) for x in items] if items else [[]] * rows, pa.list_(pa.string())),
-                        pa.array(_spans(hit, at), pa.list_(pa.list_(pa.int64()))),
-                        pa.array([sorted(x) for x in near] if near else [[]] * rows, pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "item_ids", "hits", "near_item_ids"],
+                    [pa.array([serial]), pa.nulls(1, pa.int64()), pa.array([len(hashes)], pa.int64()), pa.nulls(1, pa.binary()), ids, pa.array([at.tolist()], pa.list_(pa.int64()))],
+                    names=schema.names,
                 )
 
-    schema = f"doc_id {id_type.simpleString()}, n_words long, n_hit long, item_ids array<string>, hits array<array<long>>, near_item_ids array<string>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return store(docs.select("doc_id", "text").mapInArrow(run, schema), "postings")
 
 
-def _note(out: list[set[str]], doc: np.ndarray, window: np.ndarray, q: QueryBlock) -> None:
-    """Adds to each document the items of the windows found in it."""
-    if not len(doc):
-        return
-    pair = np.unique(np.stack([doc, window]), axis=1)
-    for d, w in zip(pair[0].tolist(), pair[1].tolist(), strict=True):
-        out[d].update(q.items[i] for i in q.owners[q.owner_at[w] : q.owner_at[w + 1]].tolist())
+def windows_of(bench: DataFrame, n: int) -> DataFrame:
+    """(w, terms, item) of every window of n consecutive words of the benchmark, all words of a shorter item;
+    w identifies the terms (two hashes)."""
 
-
-def _spans(hit: np.ndarray, at: np.ndarray) -> list[list[list[int]]]:
-    """Maximal runs of hit words, counted from each document's first word."""
-    out: list[list[list[int]]] = [[] for _ in range(len(at) - 1)]
-    if not hit.any():
-        return out
-    edge = hit.copy()
-    edge[1:] &= ~hit[:-1]
-    begins = np.unique(np.concatenate([np.flatnonzero(edge), at[:-1][(at[:-1] < len(hit))][hit[at[:-1][at[:-1] < len(hit)]]]]))
-    stop = hit.copy()
-    stop[:-1] &= ~hit[1:]
-    last = at[1:][at[1:] > 0] - 1
-    finish = np.unique(np.concatenate([np.flatnonzero(stop), last[hit[last]]])) + 1
-    for b, e, d in zip(begins.tolist(), finish.tolist(), (np.searchsorted(at, begins, "right") - 1).tolist(), strict=True):
-        out[d].append([b - int(at[d]), e - int(at[d])])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            whole, offs = K.text_buffer(batch.column(1))
+            for r0, r1 in K.doc_blocks(offs, 1 << 20):
+                starts, ends, at = K.word_spans(whole[offs[r0] : offs[r1]], offs[r0 : r1 + 1] - offs[r0], K.ALNUM)
+                words = K.word_hashes(whole[offs[r0] : offs[r1]], starts, ends, K.FOLDED)
+                for name, a, b in zip(names[r0:r1], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if b == a:
+                        continue
+                    size = min(n, b - a)
+                    m = b - a - size + 1
+                    flat = np.lib.stride_tricks.sliding_window_view(words[a:b], size).ravel().view(np.int64)
+                    terms = K.list_array(flat, np.arange(m + 1) * size, pa.int64())
+                    key = [K.gram_hashes(words[a:b], size, salt).view(np.int64) for salt in (size, size + 1000)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), terms, pa.array([name] * m, pa.string())], names=["w1", "w2", "terms", "item"])
+
+    texts = bench.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return texts.mapInArrow(run, "w1 long, w2 long, terms array<long>, item string")
+
+
+class Lists:
+    """The selected postings of one block."""
+
+    def __init__(self, lists: dict[int, np.ndarray], at: np.ndarray):
+        self.lists, self.at = lists, at
+
+    def phrase(self, terms: np.ndarray) -> np.ndarray:
+        """First positions of the exact occurrences of these terms in a row, inside one document."""
+        order = sorted(range(len(terms)), key=lambda j: len(self.lists.get(int(terms[j]), ())))
+        at = self.lists.get(int(terms[order[0]]), np.zeros(0, np.int64)) - order[0]
+        doc = np.searchsorted(self.at, at + order[0], "right") - 1
+        at = at[(at >= self.at[doc]) & (at + len(terms) <= self.at[doc + 1])] if len(at) else at
+        for j in order[1:]:
+            if not len(at):
+                break
+            own = self.lists.get(int(terms[j]), np.zeros(0, np.int64))
+            k = np.searchsorted(own, at + j)
+            at = at[(k < len(own)) & (own[np.minimum(k, len(own) - 1)] == at + j)] if len(own) else at[:0]
+        return at
+
+    def near(self, terms: np.ndarray, reach: int) -> np.ndarray:
+        """Positions of the rarest term around which `reach` consecutive words of one document hold all the terms."""
+        kinds = sorted({int(t) for t in terms}, key=lambda t: (len(self.lists.get(t, ())), t))
+        lists = [self.lists.get(t, np.zeros(0, np.int64)) for t in kinds]
+        if not len(lists[0]):
+            return lists[0]
+        at = lists[0]
+        doc = np.searchsorted(self.at, at, "right") - 1
+        lo, hi = np.maximum(at - reach + 1, self.at[doc]), np.minimum(at + reach, self.at[doc + 1])
+        for own in lists[1:]:  # each term somewhere around: thins out most
+            ok = np.searchsorted(own, lo) < np.searchsorted(own, hi)
+            at, lo, hi = at[ok], lo[ok], hi[ok]
+        # every stretch that holds the rarest place and begins within reach before it
+        out = np.zeros(len(at), dtype=bool)
+        for back in range(reach):
+            begin = at - back
+            fits = (begin >= lo) & ~out
+            for own in lists[1:]:
+                if not fits.any():
+                    break
+                fits &= np.searchsorted(own, begin) < np.searchsorted(own, np.minimum(begin + reach, hi))
+            out |= fits
+        return at[out]
+
+
+def find_overlaps(docs: DataFrame, bench: DataFrame, n: int = 10, slop: int | None = SLOP, index: DataFrame | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit (words inside any occurring window), item_ids (sorted as strings),
+    hits (array of spans [start, end) in words), and near_item_ids by proximity (none if slop is null)."""
+    spark = docs.sparkSession
+    index = build_index(docs) if index is None else index
+    id_type = index.schema["ids"].dataType.elementType
+    postings = index.where("term is not null").select("block", "term", "uses", "positions")
+    every = windows_of(bench, n)
+    key = ["w1", "w2"]
+    windows = store(every.groupBy(*key).agg(F.first("terms").alias("terms")), "windows")
+    owners = every.select(*key, "item").distinct()
+    wanted = windows.select(F.explode("terms").alias("term")).distinct()
+    lists = store(postings.join(wanted, "term", "left_semi"), "lists")
+    often = lists.groupBy("term").agg(F.sum("uses").alias("f"))
+    placed = windows.select(*key, F.posexplode("terms").alias("i", "term")).join(often, "term", "left")
+    rarest = placed.groupBy(*key).agg(F.min_by("term", F.struct("f", "i")).alias("rare"), F.count_if(F.col("f").isNull()).alias("absent")).where("absent = 0").select(*key, "rare")
+    # the blocks that hold a window's rarest term
+    where = lists.select("block", F.col("term").alias("rare")).join(rarest, "rare").select("block", *key)
+    candidates = where.join(windows, key).select("block", F.lit(2).alias("kind"), "terms", *key)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    shape = [("term", "long"), ("positions", "binary"), ("terms", "array<long>"), ("w1", "long"), ("w2", "long"), ("ids", T.ArrayType(id_type)), ("at", "array<long>")]
+    touched = candidates.select("block").distinct()
+
+    def row(df: DataFrame, kind: int) -> DataFrame:
+        return df.select("block", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else none(t, c) for c, t in shape])
+
+    blocks = index.where("term is null").select("block", "ids", "at")
+    asked = row(blocks.join(touched, "block", "left_semi"), 0).unionByName(row(lists.join(touched, "block", "left_semi"), 1)).unionByName(row(candidates, 2))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    together = asked.repartition(parts, "block").sortWithinPartitions("block", "kind")
+    result = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc", T.IntegerType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("start", T.LongType()), T.StructField("size", T.IntegerType())])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, held = None, {}, None
+        out: list[tuple] = []
+        for batch in batches:
+            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            term, code, terms, w1, w2, at = (batch.column(i) for i in (2, 3, 4, 5, 6, 8))
+            for i in range(batch.num_rows):
+                if block[i] != now:
+                    now, own, held = block[i], {}, None
+                if kind[i] == 0:
+                    begins = np.array(at[i].as_py(), dtype=np.int64)
+                elif kind[i] == 1:
+                    own[term[i].as_py()] = _decoded(code[i].as_py())
+                else:
+                    held = held or Lists(own, begins)
+                    wanted_ = np.array(terms[i].as_py(), dtype=np.int64)
+                    a, b = w1[i].as_py(), w2[i].as_py()
+                    found = held.phrase(wanted_)
+                    for p, d in zip(found.tolist(), (np.searchsorted(begins, found, "right") - 1).tolist(), strict=True):
+                        out.append((now, d, a, b, p - int(begins[d]), len(wanted_)))
+                    if slop is not None:
+                        close = held.near(wanted_, len(wanted_) + slop)
+                        for d in np.unique(np.searchsorted(begins, close, "right") - 1).tolist():
+                            out.append((now, d, a, b, None, len(wanted_)))
+                if len(out) >= 1 << 14:
+                    yield _rows(out)
+                    out = []
+        if out:
+            yield _rows(out)
+
+    hits = store(together.mapInArrow(match, result), "hits")
+    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    # runs of overlapping or touching windows, by the furthest end so far
+    spans = hits.where("start is not null").select("block", "doc", span.alias("s")).distinct()
+    runs = spans.groupBy("block", "doc").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+
+    def join_runs(acc, s):
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= s["a"]), longer).otherwise(F.concat(acc, F.array(s)))
+
+    runs = runs.select("block", "doc", F.aggregate("s", empty, join_runs).alias("runs"))
+    named = hits.join(owners, key).groupBy("block", "doc").agg(
+        F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.col("item")))).alias("item_ids"),
+        F.array_sort(F.collect_set(F.when(F.col("start").isNull(), F.col("item")))).alias("near_item_ids"),
+    )
+    each = blocks.select("block", F.posexplode("ids").alias("doc", "doc_id"), "at")
+    size = F.get("at", F.col("doc") + 1) - F.get("at", F.col("doc"))
+    found = each.select("block", "doc", "doc_id", size.alias("n_words")).join(named, ["block", "doc"], "left").join(runs, ["block", "doc"], "left")
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    n_hit = F.aggregate(F.coalesce("runs", empty), F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), texts("item_ids"), F.transform(F.coalesce("runs", empty), lambda s: F.array(s["a"], s["b"])).alias("hits"), texts("near_item_ids"))
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "doc", "w1", "w2", "start", "size"])
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     """docs without the rows that hold a window of the benchmark; all columns kept.
 
-    The verdict is computed in the same pass as the row, so repeated or null
-    doc_ids need no join."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text"))
-    kept = find_overlaps(keyed, bench, n).where(F.col("n_hit") == 0)
-    return kept.select("doc_id.*")
+    A verdict depends on the text alone, so rows are told by two hashes of the text:
+    repeated or null doc_ids are no matter."""
+    print_ = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    found = find_overlaps(docs.where("text is not null").select(print_.alias("doc_id"), "text"), bench, n, None)
+    gone = found.where("n_hit > 0").select(F.col("doc_id.a").alias("a__"), F.col("doc_id.b").alias("b__")).distinct()
+    text = F.col("text")
+    return docs.join(gone, (F.xxhash64(text) == F.col("a__")) & (F.xxhash64(F.lit(1), text) == F.col("b__")), "left_anti")

@@ -318,7 +318,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS
     left = found.select("chunk", F.lit(0).alias("kind"), "idx", blank(id_type, "doc_id"), blank("boolean", "held_out"), blank("long", "n_tokens"), blank("binary", "codes"), *facts)
     right = cut.where("kind = 1").select("chunk", "kind", F.lit(0).alias("idx"), "doc_id", "held_out", "n_tokens", "codes", *[blank("long", t) for t in uses], blank("float", "whole"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    together = left.unionByName(right).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "idx")
+    together = left.unionByName(right).repartition(parts, "chunk").withColumn("chunk", F.col("chunk") * 2 + F.col("kind")).sortWithinPartitions("chunk")
 
     kept = np.maximum(nk, 1)
     spread = np.log(np.where(nk > 0, np.maximum(DISCOUNT * vk, 1e-300) / kept, 1.0))
@@ -334,16 +334,19 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tables, parts_ = None, None, []
         for batch in batches:
-            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((np.diff(chunk, prepend=chunk[:1] - 1) != 0) | (np.diff(kind, prepend=kind[:1] - 1) != 0))
+            order = batch.column(0).to_numpy()
+            chunk, kind = order >> 1, order & 1
+            edges = np.flatnonzero(np.diff(order, prepend=order[:1] - 1))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(chunk)], strict=True):
                 if chunk[a] != now:
                     now, tables, parts_ = chunk[a], None, []
                 if kind[a] == 0:
-                    parts_.append([batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in range(7, 8 + components)])
+                    parts_.append([batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (2, *range(7, 8 + components))])
                     continue
                 if tables is None:
-                    *own, whole = (np.concatenate(x) for x in zip(*parts_, strict=True))
+                    place, *own, whole = (np.concatenate(x) for x in zip(*parts_, strict=True))
+                    place = np.argsort(place)
+                    own, whole = [x[place] for x in own], whole[place]
                     tables, parts_ = inside(np.stack(own, axis=1).astype(np.float64), whole.astype(np.float64)), []
                 known, base, model = tables
                 out = [[], [], []]

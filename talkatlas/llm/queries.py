@@ -50,7 +50,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of every document with the benchmark's windows of ten words."""
+    """Overlap of every document with the benchmark's windows of ten words; also the items with a window all of
+    whose words lie within ten words and decontaminate.SLOP more."""
     found = decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -59,6 +60,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_item_ids").cast("long").alias("n_near_items"),
+        F.sha2(F.concat_ws(",", "near_item_ids").cast("binary"), 256).alias("near_items_sha256"),
     )
 
 

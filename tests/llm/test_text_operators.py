@@ -127,11 +127,12 @@ def test_repeats_odd_rows(documents):
     assert repeats.find_repeats(documents([])).count() == 0
 
 
-@pytest.mark.parametrize("block", [1 << 20, 5])
-def test_decontaminate(spark, documents, corpus, block):
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_decontaminate(spark, documents, corpus, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)  # 300: a block of the index holds a document or two
     items = [(i, " ".join((t or "").split()[5:25])) for i, t in corpus[:30:3]] + [(900, "one"), (901, None), (902, "..."), (903, "A B c"), (900, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.find_overlaps(documents(corpus), bench, block_words=block).collect()}
+    got = {r.doc_id: r for r in decontaminate.find_overlaps(documents(corpus), bench).collect()}
     windows = {}
     for i, t in items:
         w = ALNUM.findall(low(t))
@@ -146,7 +147,12 @@ def test_decontaminate(spark, documents, corpus, block):
                     hit |= set(range(j, j + len(win)))
                     own |= names
         r = got[i]
-        assert (r.n_words, r.n_hit, r.item_ids) == (len(w), len(hit), sorted(own))
+        near = set()
+        for win, names in windows.items():
+            reach = len(win) + decontaminate.SLOP
+            if set(win) <= set(w) and any(set(win) <= set(w[j : j + reach]) for j in range(max(1, len(w) - reach + 1))):
+                near |= names
+        assert (r.n_words, r.n_hit, r.item_ids, r.near_item_ids) == (len(w), len(hit), sorted(own), sorted(near))
         assert sum(e - b for b, e in r.hits) == len(hit)
 
 
@@ -159,6 +165,15 @@ def test_proximity_and_drop(spark, documents):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert decontaminate.drop_contaminated(documents([]), bench).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 4
+    odd = docs.withColumnsRenamed({"source": "my source", "n_chars": "a__"})
+    assert decontaminate.drop_contaminated(odd, bench).columns == odd.columns
+
+
+def test_decontaminate_odd_rows(spark, documents):
+    bench = spark.createDataFrame([(None, "red green"), (2, "Blue"), (2, None)], "item_id long, text string")
+    rows = [(1, "red GREEN " * 50_000), (1, "red GREEN " * 50_000), (None, "red, green"), (None, "blue"), (3, "")]
+    got = decontaminate.find_overlaps(documents(rows), bench, slop=None).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.item_ids) for r in got) == [(0, 1, 1, ["2"]), (0, 2, 2, [""]), (1, 100_000, 100_000, [""]), (1, 100_000, 100_000, [""]), (3, 0, 0, [])]
 
 
 def brute_winnow(text, k=winnow.GRAM, w=winnow.WINDOW):
