@@ -1,15 +1,19 @@
-"""Questions about the archive: what is asked for, of when and where, and how evidence is packed.
+"""Questions about the archive: what is asked for, of when and where, and how evidence is made.
 
-Planning is a pure function on the driver: phrases are stripped from the question's
-words one kind after another, and what each kind means is noted."""
+Planning is a pure function on the driver. A question becomes a row of words. A small grammar
+reads it from the left: a head (a request and what it is for) gives the intent, scopes (days, recency,
+a repository) are marked wherever they stand, and the words that are left over, without the
+ones that say nothing, are the topic. Evidence is gathered by DataFrames."""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkatlas.functions import text as X
@@ -27,110 +31,173 @@ class Plan:
 
 # Words that say nothing about a topic.
 _STOP = frozenset(
-    """a about all am an and any are ask at been between by can chat chats conversation conversations could did do does for from
-    had has have he her hers him his how i in is it its last list me my of on our please session sessions she show
-    tell the their theirs them they this to took us was we were what when where which who why will with would you your""".split()
+    """a about an and are did do for from he her hers him his how i in is it its me my of on our please session sessions she show tell
+    the their theirs them they this to took us was we were what when where which who why you your""".split()
 )
-_POLITE = ("please", "can you", "could you", "would you", "will you", "kindly")
-_THINGS = ("conversations", "conversation", "sessions", "session", "chats", "chat")
-_ABOUT = ("about", "on", "related to", "matching")
-_FIND = ("find", "search for", "search", "look up", "look-up", "look for", "lookup")
-_SHOW = ("show me", "show", "list me", "list")
-_SUMMARY = ("summarize my", "summarise my", "summarize", "summarise", "give me a summary of", "give me an overview of", "show me a summary of", "show me an overview of", "give me a summary", "summary of", "overview of", "a summary of", "an overview of", "the summary of", "what were the main topics", "what are the main topics")
-_ACTIVITY = ("what did i work on", "what have i worked on", "what did i do", "what have i done", "what i worked on", "what i did", "what i have worked on", "what i've worked on", "show me what i worked on", "tell me what i worked on")
-_LONGEST = re.compile(r"\b(?:which|what)\s+(?:recent |latest )?(?:problems?|sessions?|conversations?)\s+(?:took|take)\s+(?:me )?(?:the )?(?:longest|most time)(?: to solve)?|\b(?:show|list)\s+(?:me )?(?:the )?(?:recent |latest )?longest\s+(?:problems?|sessions?|conversations?)", re.I)
-
-
-def _lead(text: str, phrases: tuple[str, ...]) -> str | None:
-    """The rest of text after one of the phrases (longest first), or None."""
-    low = text.lower().lstrip()
-    for p in sorted(phrases, key=len, reverse=True):
-        if low.startswith(p) and (len(low) == len(p) or not low[len(p)].isalnum()):
-            return text.lstrip()[len(p) :]
-    return None
-
-
-def _searches(text: str) -> str | None:
-    """The topic of a request to find conversations, or None for another request."""
-    found = None
-    while True:
-        own = text if found is None else (_lead(found, ("and",)) or found)
-        rest = None
-        if _lead(own, ("find out",)) is None and (rest := _lead(own, _FIND)) is not None:
-            inner = rest
-            for skip in (("me",), ("my",)):
-                inner = _lead(inner, skip) or inner
-            after = _lead(inner, _THINGS)
-            rest = (_lead(after, _ABOUT) if after is not None else None) or rest
-        elif (after := _lead(own, _SHOW)) is not None:
-            after = _lead(after, ("my",)) or after
-            things = _lead(after, _THINGS)
-            rest = _lead(things, _ABOUT) if things is not None else None
-        if rest is None:
-            return found
-        found = rest
-
-
-def _when(question: str, today: date) -> tuple[str | None, str | None]:
-    low = question.lower()
-    day = lambda n: (today - timedelta(days=n)).isoformat()
-    if re.search(r"\btoday\b", low):
-        return day(0), day(0)
-    if re.search(r"\byesterday\b", low):
-        return day(1), day(1)
-    if re.search(r"\b(past|last) week\b", low):
-        return day(6), day(0)
-    if m := re.search(r"\b(?:last|past) (\d+) days?\b", low):
-        return day(max(1, min(int(m[1]), 365)) - 1), day(0)
-    if m := re.search(r"\bsince (\d{4}-\d{2}-\d{2})\b", low):
-        try:
-            return date.fromisoformat(m[1]).isoformat(), day(0)
-        except ValueError:
-            return None, None
-    return None, None
-
-
-def _repository(low: str, names: list[str]) -> str | None:
-    """The one repository that the text names as a word, unless a longer name covers it."""
-    spans = [(n, m.span()) for n in names for m in re.finditer(rf"(?<![\w-]){re.escape(n.lower())}(?![\w-])", low)]
-    own = {n for n, (a, b) in spans if not any(c <= a and b <= d and d - c > b - a for _, (c, d) in spans)}
-    return own.pop() if len(own) == 1 else None
-
 
-_TIMES = re.compile(r"\b(?:today|yesterday|(?:past|last) week|(?:last|past) \d+ days?|since \d{4}-\d{2}-\d{2}|most recent|latest|newest|recently|recent)\b", re.I)
+# --- the grammar: a rule is a row of steps, a step a set of words; "?" after a step makes it optional ---
+
+_THINGS = "conversation|conversations|session|sessions|chat|chats"
+_LINK = "about|on|matching|related to"
+
+
+def _step(words: str, optional: bool = False) -> tuple[tuple[tuple[str, ...], ...], bool]:
+    return tuple(tuple(w.split()) for w in words.split("|")), optional
+
+
+def _rule(*steps: str) -> list[tuple[tuple[tuple[str, ...], ...], bool]]:
+    return [_step(s.rstrip("?"), s.endswith("?")) for s in steps]
+
+
+_POLITE = [_rule("please"), _rule("can|could|would|will", "you")]
+_AND = _rule("and")
+_OUT = _rule("find out")
+_SEEK = "find|search for|search|look up|look for|look-up|lookup"
+_FINDS = [_rule(_SEEK, "me?", "my?", _THINGS, _LINK), _rule(_SEEK), _rule("show|list", "me?", "my?", _THINGS, _LINK)]
+_NOUN = "summary of|overview of|summary|overview"
+_SUMMARIES = [
+    _rule("summarize|summarise", "my?"),
+    _rule("give|show", "me", "a|an|the?", _NOUN),
+    _rule("a|an|the?", _NOUN),
+    _rule("what", "were|are", "the", "main", "topics", "in this collection|in the collection?"),
+]
+_WORKED = "work on|worked on|do|done"
+_ACTIVITIES = [
+    _rule("tell me|show me?", "what", "did|have", "i", _WORKED),
+    _rule("tell me|show me?", "what", "i ve|i have|i", "worked on|did|done"),
+]
+_JOBS = "problem|problems|session|sessions|conversation|conversations"
+_LONGEST = [
+    _rule("which|what", "recent|latest?", _JOBS, "took|take", "me?", "the?", "longest|most time", "to solve?"),
+    _rule("show|list", "me?", "the?", "recent|latest?", "longest", _JOBS),
+]
+#: Scope words and the recency that they ask for.
+_RECENCY = [(_rule("most recent|latest|newest"), "latest"), (_rule("recent|recently"), "boost")]
+_TAIL = ("archive", "collection", "conversation", "conversations", "history", "session", "sessions")
+_MOST_DAYS = 365
+
+#: Fixed value: what counts as one word of a question.
+_WORD = re.compile(r"[A-Za-z0-9_./-]+")
+
+
+def _read(rule: list, words: list[str], at: int) -> int | None:
+    """Where the rule's match that begins at this place ends; the longest alternatives first."""
+    if not rule:
+        return at
+    options, optional = rule[0]
+    for phrase in sorted(options, key=len, reverse=True):
+        if tuple(words[at : at + len(phrase)]) == phrase:
+            end = _read(rule[1:], words, at + len(phrase))
+            if end is not None:
+                return end
+    return _read(rule[1:], words, at) if optional else None
+
+
+def _first(rules: list, words: list[str], at: int) -> int | None:
+    """The furthest end among the rules that match at this place."""
+    ends = [e for r in rules if (e := _read(r, words, at)) is not None and e > at]
+    return max(ends) if ends else None
+
+
+def _request(words: list[str]) -> tuple[str, int, list[int], bool]:
+    """(intent, where the topic begins, further words of the request, whether own work is asked for)."""
+    at = 0
+    while (end := _first(_POLITE, words, at)) is not None:
+        at = end
+    out = _read(_OUT, words, at)
+    begun = at
+    while _read(_OUT, words, at) is None:
+        end = _first(_FINDS, words, at)
+        if end is None and at > begun and (skipped := _read(_AND, words, at)) is not None:
+            end = _first(_FINDS, words, skipped)
+        if end is None:
+            break
+        at = end
+    if at > begun:
+        return "find", at, [], False
+    at = begun if out is None else out
+    for place in range(at, len(words)):
+        if (end := _first(_LONGEST, words, place)) is not None:
+            return "duration", at, list(range(place, end)), False
+    if (end := _first(_SUMMARIES, words, at)) is not None:
+        return "summary", end, [], False
+    if (end := _first(_ACTIVITIES, words, at)) is not None:
+        return "lookup", end, [], True
+    return "lookup", at, [], False
+
+
+def _days(words: list[str], today: date) -> tuple[tuple[str, str] | None, set[int]]:
+    """(first and last day, the words that say so); of several scopes the nearest day wins."""
+    found: list[tuple[int, tuple[str, str] | None]] = []
+    marked: set[int] = set()
+    back = lambda n: (today - timedelta(days=n)).isoformat()
+    for i, w in enumerate(words):
+        one, two = (words[i + 1 : i + 2] or [""])[0], (words[i + 2 : i + 3] or [""])[0]
+        if w in ("today", "yesterday"):
+            day = back(int(w == "yesterday"))
+            found.append((int(w == "yesterday"), (day, day)))
+            marked.add(i)
+        elif w in ("past", "last") and one == "week":
+            found.append((2, (back(6), back(0))))
+            marked |= {i, i + 1}
+        elif w in ("past", "last") and one.isdecimal() and two in ("day", "days"):
+            found.append((3, (back(min(max(int(one), 1), _MOST_DAYS) - 1), back(0))))
+            marked |= {i, i + 1, i + 2}
+        elif w == "since" and re.fullmatch(r"\d{4}-\d{2}-\d{2}", one):
+            marked |= {i, i + 1}
+            try:
+                found.append((4, (date.fromisoformat(one).isoformat(), back(0))))
+            except ValueError:
+                found.append((5, None))
+    return (min(found, key=lambda f: f[0])[1] if found else None), marked
+
+
+def _repository(question: str, names: list[str]) -> tuple[str | None, set[int]]:
+    """The only repository that the question names, and the signs that do; a name inside a longer
+    named one doesn't count."""
+    low = question.lower()
+    places: dict[str, set[int]] = {}
+    taken: set[int] = set()
+    edge = re.compile(r"[\w-]")
+    for name in sorted(set(names), key=lambda n: (-len(n), n)):
+        at = low.find(name.lower())
+        while at >= 0 and name:
+            end = at + len(name)
+            free = not (at and edge.match(low[at - 1])) and not (end < len(low) and edge.match(low[end]))
+            if free and not taken >= set(range(at, end)):
+                places.setdefault(name, set()).update(range(at, end))
+            at = low.find(name.lower(), at + 1)
+        taken |= places.get(name, set())
+    if len(places) != 1:
+        return None, set()
+    return places.popitem()
 
 
 def plan(question: str, now: datetime | None = None, repositories: list[str] = ()) -> Plan:
     """Intent (find, duration, summary, lookup), topic words, dates, recency, repository."""
     today = (now or datetime.now(timezone.utc)).astimezone(timezone.utc).date()
-    low = question.lower()
-    recency = "latest" if re.search(r"\b(most recent|latest|newest)\b", low) else "boost" if re.search(r"\brecent(ly)?\b", low) else "none"
-    repository = _repository(low, list(repositories))
-    first, last = _when(question, today)
-    text = question
-    while (rest := _lead(text, _POLITE)) is not None:
-        text = rest.lstrip(" ,;:!.-")
-    intent, activity = "lookup", False
-    if (topic := _searches(text)) is not None:
-        intent, text = "find", topic
-    else:
-        text = _lead(text, ("find out",)) or text
-        if m := _LONGEST.search(text):
-            intent, text = "duration", text[: m.start()] + " " + text[m.end() :]
-        elif (rest := _lead(text, _SUMMARY)) is not None:
-            intent, text = "summary", rest
-        elif (rest := _lead(text, _ACTIVITY)) is not None:
-            activity, text = True, rest
-    if repository:
-        text = re.sub(rf"(?<![\w-]){re.escape(repository)}(?![\w-])", " ", text, flags=re.I)
-    text = _TIMES.sub(" ", text)
-    if intent in ("summary", "duration"):
-        text = re.sub(r"\b(?:archive|collection|conversations?|history|sessions?)\b", " ", text, flags=re.I)
-    words = [w for w in re.findall(r"[\w.+#-]*\w[\w+#]*", text) if w.lower() not in _STOP or w in ("IT", "US")]
-    topic = " ".join(w.lower() for w in words)
-    if activity and not topic:
+    repository, signs = _repository(question, list(repositories))
+    spans = [(m.start(), m[0]) for m in _WORD.finditer(question)]
+    words = [w.lower().rstrip(".-") for _, w in spans]
+    intent, begin, request, own_work = _request(words)
+    days, said = _days(words, today)
+    recency = "none"
+    for i in range(len(words)):
+        for rule, kind in _RECENCY:
+            if (end := _read(rule, words, i)) is not None:
+                said |= set(range(i, end))
+                recency = "latest" if "latest" in (kind, recency) else kind
+    dropped = said | set(range(begin)) | set(request) | {i for i, (a, w) in enumerate(spans) if signs & set(range(a, a + len(w)))}
+    left = []
+    for i, (_, w) in enumerate(spans):
+        empty = words[i] in _STOP and w not in ("IT", "US")
+        if i in dropped or empty or (intent in ("summary", "duration") and words[i] in _TAIL):
+            continue
+        left.append(w.lower())
+    if own_work and not left:
         intent = "summary"
-    return Plan(topic, repository, first, last, recency, intent)
+    first, last = days or (None, None)
+    return Plan(" ".join(left), repository, first, last, recency, intent)
 
 
 def scope_of(p: Plan) -> dict[str, str | None]:
@@ -142,12 +209,34 @@ def without_dates(p: Plan) -> Plan:
     return replace(p, date_from=None, date_to=None)
 
 
+# --- evidence ---------------------------------------------------------------------------
+
+
 def longest(sessions: DataFrame, n: int = 5) -> DataFrame:
     """The answer to a duration question: the sessions that took longest, as list lines."""
     top = sessions.where("duration_seconds is not null").orderBy(F.desc("duration_seconds"), "id").limit(n)
     return top.select("id", "title", "duration_seconds", F.concat(F.lit("- "), "title", F.lit(": "), X.duration_label(F.col("duration_seconds"))).alias("line"))
 
 
+def relevant(rows: DataFrame, floor: float = -8.0, score: str = "rerank") -> DataFrame:
+    """rows that a reranker scored at least the floor; rows that it didn't score stay."""
+    return rows.where(F.col(score).isNull() | (F.col(score) >= floor))
+
+
+def reranked(rows: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame] | None, floor: float = -8.0) -> DataFrame:
+    """rows in a column order, best first: by the scorer's (key, rerank), or, without one, by the score they have."""
+    if scorer is None:
+        return rows.withColumn("rerank", F.lit(None).cast("double")).withColumn("order", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc(key))))
+    scored = relevant(rows.join(scorer(rows), key, "left"), floor)
+    return scored.withColumn("order", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("rerank"), F.desc("score"), F.asc(key))))
+
+
+def best_sessions(passages: DataFrame, n: int) -> DataFrame:
+    """session_id, score: sessions by their best passage, n at most."""
+    score = F.coalesce("rerank", "score") if "rerank" in passages.columns else F.col("score")
+    return passages.groupBy("session_id").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "session_id").limit(n)
+
+
 def with_neighbours(passages: DataFrame, sessions: DataFrame, radius: int = 1, cap: int = 800) -> DataFrame:
     """passages (session_id, turn_index) with column around: the turns within radius, in order, clipped."""
     turns = sessions.select(F.col("id").alias("session_id"), F.explode("turns").alias("t")).select("session_id", F.col("t.turn_index").alias("near"), F.concat_ws("\n", "t.user_message", "t.assistant_response").alias("said"))
@@ -156,15 +245,80 @@ def with_neighbours(passages: DataFrame, sessions: DataFrame, radius: int = 1, c
     return passages.join(found.select("session_id", "turn_index", F.transform("x", lambda r: r["said"]).alias("around")), ["session_id", "turn_index"], "left")
 
 
-def pack(records: list[dict], budget: int) -> list[dict]:
-    """Records in order whose encoded sizes fit the budget; one that doesn't fit is skipped, later ones may."""
-    import json
+def distinct_passages(passages: DataFrame) -> DataFrame:
+    """Of passages with the same text in a session and role, the best."""
+    best = F.max_by(F.struct(*passages.columns), F.struct("score", -F.col("chunk_id")))
+    return passages.groupBy("session_id", "role", F.md5(F.col("content").cast("binary")).alias("digest__")).agg(best.alias("r")).select("r.*")
+
+
+def session_context(sessions: DataFrame, ids: DataFrame, turns: int = 6, cap: int = 600) -> DataFrame:
+    """One record a session of ids (session_id): title, repository, source, day, summary, and its first and last turns, clipped."""
+    chosen = sessions.join(ids.select(F.col("session_id").alias("id")).distinct(), "id", "left_semi")
+    n = F.size("turns")
+    head, tail = (turns + 1) // 2, turns // 2
+    some = F.when(n <= turns, F.col("turns")).otherwise(F.concat(F.slice("turns", F.lit(1), F.lit(head)), F.slice("turns", n - tail + 1, F.lit(tail))))
+    said = F.transform(some, lambda t: F.struct(t["turn_index"].alias("turn"), X.truncate(t["user_message"], cap).alias("user"), X.truncate(t["assistant_response"], cap).alias("assistant")))
+    extra = [F.col(c) for c in ("summary",) if c in sessions.columns]
+    return chosen.select("id", "title", "repository", "source", F.substring(F.coalesce("updated_at", "created_at"), 1, 10).alias("day"), *extra, n.alias("turns_total"), said.alias("turns"))
+
+
+def encoded_size(record: dict) -> int:
+    """Bytes of a record as JSON that is safe inside a page."""
+    return len(json.dumps(record, ensure_ascii=False).replace("<", "\\u003c").replace(">", "\\u003e").encode())
+
 
+def context_budget(window: int = 16384, answer: int = 2048, overhead: int = 512, bytes_per_token: int = 3) -> int:
+    """Bytes of evidence that fit a model's window beside its answer and the instructions."""
+    return max(0, window - answer - overhead) * bytes_per_token
+
+
+def shortened(record: dict, field: str, budget: int) -> dict | None:
+    """record with the longest beginning of a text field that fits the budget (found by bisection); None if none does."""
+    if encoded_size(record) <= budget:
+        return record
+    text, low, high = record[field], 0, len(record[field])
+    while low < high:
+        middle = (low + high + 1) // 2
+        if encoded_size(record | {field: text[:middle] + " …"}) <= budget:
+            low = middle
+        else:
+            high = middle - 1
+    return record | {field: text[:low] + " …"} if low else None
+
+
+def pack(records: list[dict], budget: int, shorten: str | None = None) -> list[dict]:
+    """Records in order whose encoded sizes fit the budget; one that doesn't fit is skipped, later ones may.
+    With a field to shorten, the first record that doesn't fit whole is cut to what is left."""
     left, out = budget, []
     for r in records:
-        text = json.dumps(r, ensure_ascii=False).replace("<", "\\u003c").replace(">", "\\u003e")
-        size = len(text.encode())
-        if size <= left:
-            out.append(r | {"citation": len(out) + 1})
-            left -= size
+        fits = r if encoded_size(r) <= left else None
+        if fits is None and shorten:
+            fits, shorten = shortened(r, shorten, left), None
+        if fits is not None:
+            out.append(fits | {"citation": len(out) + 1})
+            left -= encoded_size(fits)
     return out
+
+
+def greedy_fit(rows: DataFrame, group: str, order: list[Column], size: str, budget: int) -> DataFrame:
+    """rows that a first-fit walk of each group in the given order keeps: a row is taken if it fits what the
+    budget has left. Rows over the budget go first; of the rest, a walk ends once nothing smaller is left,
+    so a group's array holds at most the rows that the budget could hold of its smallest sizes.
+
+    Only rows that a walk can take are gathered: at most budget / s rows of size s or more fit, so of
+    each power-of-two class of sizes the first budget / 2**k rows in order are enough."""
+    fit = rows.where((F.col(size) <= budget) & (F.col(size) > 0)).withColumn("class__", F.floor(F.log2(F.col(size))).cast("int"))
+    w = Window.partitionBy(group, "class__").orderBy(*order)
+    most = F.floor(F.lit(budget) / F.pow(F.lit(2.0), F.col("class__")))
+    # a bound that rises with the class's smallest size; the row number is pre-limited in each task
+    some = fit.withColumn("rn__", F.row_number().over(w)).where(F.col("rn__") <= budget).where(F.col("rn__") <= most)
+    place = some.withColumn("at__", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    listed = place.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("at__", F.col(size).cast("long").alias("size__")))).alias("all__"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ats"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x["size__"] <= budget
+        return F.struct((acc["used"] + F.when(fits, x["size__"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(acc["ats"], x["at__"])).otherwise(acc["ats"]).alias("ats"))
+
+    taken = listed.select(group, F.explode(F.aggregate("all__", start, step)["ats"]).alias("at__"))
+    return place.join(taken, [group, "at__"]).select(*rows.columns)
