@@ -157,6 +157,8 @@ class Lists:
         for own in lists[1:]:  # each term somewhere around: thins out most
             ok = np.searchsorted(own, lo) < np.searchsorted(own, hi)
             at, lo, hi = at[ok], lo[ok], hi[ok]
+            if not len(at):
+                return at
         # every stretch that holds the rarest place and begins within reach before it
         out = np.zeros(len(at), dtype=bool)
         for back in range(reach):
@@ -269,6 +271,6 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFra
     repeated or null doc_ids are no matter."""
     print_ = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     found = find_overlaps(docs.where("text is not null").select(print_.alias("doc_id"), "text"), bench, n, None)
-    gone = found.where("n_hit > 0").select(F.col("doc_id.a").alias("a__"), F.col("doc_id.b").alias("b__")).distinct()
-    text = F.col("text")
-    return docs.join(gone, (F.xxhash64(text) == F.col("a__")) & (F.xxhash64(F.lit(1), text) == F.col("b__")), "left_anti")
+    gone = found.where("n_hit > 0").select("doc_id").distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), print_.alias("print"))
+    return row.join(gone, (F.col("print.a") == F.col("doc_id.a")) & (F.col("print.b") == F.col("doc_id.b")), "left_anti").select("row.*")

@@ -4,23 +4,26 @@ DataFrame functions only. The base finds e-mail addresses, IP addresses, card an
 phone numbers by regular expressions whose failing matches are dropped. Then the
 method bootstraps:
 
-1. Base spans are seed entities. The words around them are lexical patterns: two
-   words before, two words after, one on either side.
-2. Other tokens with digits are candidate identifiers; they stand in the same kinds
-   of patterns. Tokens that touch a base span, or a match that its check rejected (of cards:
-   one of 12 digits or more), aren't candidates.
+1. Base spans are seed entities, and so, of a further kind (secret), are tokens that look like keys: LONG_KEY signs or
+   more in which letters and digits alternate. The words around them are lexical patterns: two words before, two
+   words after, one on either side (words that lie within CONTEXT characters and, at the other side of a
+   neighbouring match of the same expression, aren't seen).
+2. Tokens with digits are candidate identifiers, of any length; they stand in the same kinds of patterns. What has no
+   digit is a name or a word, not an identifier, and never a candidate. Tokens that touch a base span, or a match
+   that its check rejected (of cards: one of 12 digits or more), aren't candidates.
 3. Distinct (pattern, instance) pairs form a graph, aggregated before it is joined.
    A pattern's confidence for a kind is the sum of its instances' scores over their
    number plus one, if at least MIN_SEEDS different seeds support it; a
    candidate's score is that of its best pattern. ROUNDS rounds of this are run.
-4. Candidates with a score of at least ACCEPT are spans of the kind, wherever they
-   stand in such a pattern.
+4. Candidates that stand in a pattern with a confidence of at least ACCEPT are spans of its kind. A key's
+   looks alone make no span: it must stand in such a pattern, too.
 
 Offsets come from the lengths of what lies between matches, summed in a window for
 each document and kind, so a text with very many matches costs a sort, not a square.
 
 Defined results: null text counts as empty; rows with equal id and text have equal
-results; a null id is kept; extra columns are ignored; an empty table gives no rows.
+results; a null id is kept; an empty table gives no rows; very long texts are matched whole;
+extra columns of any name are ignored by `find` and carried by `redact`.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .scratch import store
 
-KINDS = ("email", "ip", "card", "phone")
-TOKEN = 4
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Number of the expression of tokens; of spans, the kind of this number is a secret.
+TOKEN = SECRET = 4
+LONG_KEY = 20
 MIN_SEEDS = 5
 ACCEPT = 0.8
 ROUNDS = 3
@@ -117,7 +122,7 @@ def _candidates(matches: DataFrame) -> DataFrame:
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = both.withColumn("before", before).withColumn("after", after).where(~base)
-    return free.where((F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.col("after").isNull() | (F.col("after") >= F.col("end"))) & (F.length("match") >= 5)).drop("before", "after")
+    return free.where((F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.col("after").isNull() | (F.col("after") >= F.col("end"))) & (F.length("match") > 0)).drop("before", "after")
 
 
 def _patterns(rows: DataFrame) -> DataFrame:
@@ -130,16 +135,23 @@ def _patterns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", F.explode(F.filter(each, lambda p: p.isNotNull()))).drop("l", "r", "left", "right")
 
 
+def _like_key(token: Column) -> Column:
+    """Whether a token looks like a key: long, of a key's signs, with letters and digits in turns."""
+    return token.rlike(rf"^[A-Za-z0-9_+/=-]{{{LONG_KEY},}}$") & token.rlike("(?:[A-Za-z]+[0-9]+){4}")
+
+
 def bootstrap(matches: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT) -> DataFrame:
     """k, th, kind, start, end of identifiers that the base doesn't know."""
     seeds = matches.where((F.col("kind") < TOKEN) & F.col("ok"))
-    candidates = store(_patterns(_candidates(matches)).select("k", "th", "start", "end", F.lower("match").alias("item"), "pattern"), "candidates")
-    known = _patterns(seeds).select("pattern", "kind", F.lower("match").alias("item")).distinct()
+    free = _candidates(matches).withColumn("key", _like_key(F.col("match")))
+    candidates = store(_patterns(free).select("k", "th", "start", "end", F.lower("match").alias("item"), "pattern", "key"), "candidates")
+    keys = candidates.where("key").select("pattern", F.lit(SECRET).alias("kind"), "item")
+    known = _patterns(seeds).select("pattern", "kind", F.lower("match").alias("item")).unionByName(keys).distinct()
     support = known.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
     total_known = known.select("pattern", "item").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    edges = store(candidates.select("pattern", "item").distinct(), "edges")
+    edges = store(candidates.where("not key").select("pattern", "item").distinct(), "edges")
     unknown = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("u"))
-    strong = store(support.where(F.col("seeds") >= min_seeds).join(total_known, "pattern").join(unknown, "pattern"), "strong")
+    strong = store(support.where(F.col("seeds") >= min_seeds).join(total_known, "pattern").join(unknown, "pattern", "left").fillna(0, ["u"]), "strong")
     scores = None
     if strong.isEmpty():
         return candidates.select("k", "th", F.lit(0).alias("kind"), "start", "end").limit(0)
@@ -165,34 +177,33 @@ def _listed(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_added for every row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_added, n_private (all spans) for every row of docs."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64("text").alias("th"))
     matches = store(_matches(keyed), "matches")
     base = matches.where((F.col("kind") < TOKEN) & F.col("ok")).select("k", "th", "kind", "start", "end", F.lit(True).alias("base"))
     rows = base.unionByName(bootstrap(matches).withColumn("base", F.lit(False)))
     span = F.struct("start", "kind", "end")
-    counts = [F.count_if((F.col("kind") == i) & F.col("base")).alias(f"n_{name}") for i, name in enumerate(KINDS)]
-    per = rows.groupBy("k", "th").agg(*counts, F.collect_list(F.when(F.col("base"), span)).alias("b"), F.collect_list(span).alias("s"), F.count_if(~F.col("base")).alias("n_added"))
+    counts = [F.count_if((F.col("kind") == i) & F.col("base")).alias(f"n_{name}") for i, name in enumerate(KINDS[:SECRET])]
+    per = rows.groupBy("k", "th").agg(*counts, F.collect_list(F.when(F.col("base"), span)).alias("b"), F.collect_list(span).alias("s"), F.count_if(~F.col("base")).alias("n_added"), F.count(F.lit(1)).alias("n_private"))
     joined = keyed.select("doc_id", "k", "th").join(per, ["k", "th"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     text = lambda c: F.coalesce(_listed(F.col(c)), F.lit(""))
-    return joined.select("doc_id", *[zero(f"n_{x}") for x in KINDS], F.sha2(text("b").cast("binary"), 256).alias("base_sha256"), text("s").alias("spans"), zero("n_added"))
+    return joined.select("doc_id", *[zero(f"n_{x}") for x in KINDS[:SECRET]], F.sha2(text("b").cast("binary"), 256).alias("base_sha256"), text("s").alias("spans"), zero("n_added"), zero("n_private"))
 
 
 def redact(docs: DataFrame, spans: DataFrame, mark: str = "[private]") -> DataFrame:
     """docs (unique ids) with every span of find()'s result replaced by mark; all columns kept."""
-    wanted = spans.select(F.col("doc_id").alias("id__"), "spans")
-    df = docs.join(wanted, docs["doc_id"] == F.col("id__"), "left")
+    wanted = spans.select(F.col("doc_id").alias("id"), "spans")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(wanted, F.col("row.doc_id") == F.col("id"), "left")
     cuts = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("row.text")
 
     def step(acc: Column, c: Column) -> Column:
         fresh = c["a"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, c["a"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["a"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], c["b"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate(cuts, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return df.select(*[F.when(F.coalesce("spans", F.lit("")) == "", F.col("text")).otherwise(done).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
-
-
+    done = F.aggregate(cuts, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return df.select(*[F.when(F.coalesce("spans", F.lit("")) == "", text).otherwise(done).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_score, mixing, near_dup, pii, quality, repeats, toxicity, winnow
+from . import decontaminate, line_dedup, lm_score, mixing, near_dup, oracles, pii, quality, repeats, toxicity, winnow
 from .tables import fold, held_out, read
 
 
@@ -95,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_dup": oracles.near_duplicates("documents"),
+    "op7_decontaminate": oracles.overlaps("documents", "benchmark"),
+    "op10_repeats": oracles.repeats("documents"),
     "op8_line_dedup": line_dedup.oracle("documents"),
     "op6_mixing": mixing.oracle("d.doc_id, d.text, d.lang, d.source, d.n_chars, round(r.rate, 6) AS rate, replica", "documents"),
 }

@@ -360,6 +360,7 @@ def find_repeats(docs: DataFrame, size: int = SIZE, whole_text: bool = False) ->
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs with each text's kept words joined by one space (null stays null); all columns kept."""
     found = find_repeats(docs, size, whole_text=True).select("k", "th", "kept").dropDuplicates(["k", "th"])
-    keyed = docs.withColumn("k__", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))).withColumn("th__", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found.select(F.col("k").alias("k__"), F.col("th").alias("th__"), F.col("kept").alias("kept__")), ["k__", "th__"], "left")
-    return joined.select(*[F.when(F.col("text").isNotNull(), F.col("kept__")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    joined = keyed.join(found, ["k", "th"], "left")
+    return joined.select(*[F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

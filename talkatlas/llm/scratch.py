@@ -6,11 +6,16 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
-_KEPT: list[tuple[SparkSession, str]] = []
+#: Tables stored within scope(name): they go when the scope is entered anew, others stay.
+_SCOPED: dict[str, list[tuple[SparkSession, str]]] = {}
+_NOW: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,14 +29,26 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables stored inside belong to this scope; what an earlier run of the same scope stored is deleted first. So a chain
+    of stages holds the tables of one stage at a time, and results made elsewhere are left alone."""
+    _delete(_SCOPED.pop(name, []))
+    before = _NOW.set(name)
+    try:
+        yield
+    finally:
+        _NOW.reset(before)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it: lineage is cut, and a lost
-    executor costs no recomputation of what came before. Tables go at exit, or
-    by release() unless keep is set."""
+    executor costs no recomputation of what came before. Tables go at exit, by drop(), or with their scope."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/talkatlas/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    (_KEPT if keep else _WRITTEN).append((spark, path))
+    own = _NOW.get()
+    (_WRITTEN if own is None else _SCOPED.setdefault(own, [])).append((spark, path))
     _sweep(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at__ = path
@@ -41,9 +58,10 @@ def store(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Deletes stored tables that no later plan reads."""
     paths = {t.stored_at__ for t in tables}
-    gone = [x for x in _WRITTEN if x[1] in paths]
-    _WRITTEN[:] = [x for x in _WRITTEN if x[1] not in paths]
-    _delete(gone)
+    for tables_ in (_WRITTEN, *_SCOPED.values()):
+        gone = [x for x in tables_ if x[1] in paths]
+        tables_[:] = [x for x in tables_ if x[1] not in paths]
+        _delete(gone)
 
 
 def _sweep(spark: SparkSession) -> None:
@@ -53,11 +71,6 @@ def _sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def release() -> None:
-    """Deletes the tables stored so far. Call it when results made from them have been written."""
-    _delete(_WRITTEN)
-
-
 def _delete(tables: list[tuple[SparkSession, str]]) -> None:
     while tables:
         spark, path = tables.pop()
@@ -71,5 +84,5 @@ def _delete(tables: list[tuple[SparkSession, str]]) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    _delete(_WRITTEN)
-    _delete(_KEPT)
+    for tables in (_WRITTEN, *_SCOPED.values()):
+        _delete(tables)

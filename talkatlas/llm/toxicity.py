@@ -10,10 +10,14 @@ given) cancels the hits that it covers. The weighted hits are divided by the
 document's number of words, and a logistic curve over that density and over the
 absolute weight turns them into a score.
 
+Entries are beginnings of PREFIX letters: shorter words are too common to be telling in any language, and
+beyond sixteen letters a longer beginning tells no more. Hits inside a word are none ("grass").
+
 Defined results: null or empty text has no hits and gets the curve's value at
 zero; null labels are ignored; with no labelled rows of both kinds the lexicon is
-empty and every score is 0; extra columns are carried by `drop_toxic` and ignored
-by `score`; repeated rows are each scored.
+empty and every score is 0; extra columns of any name are carried by `drop_toxic` and ignored
+by `score`; repeated rows are each scored alike; a score at the threshold is rejected; very long texts are
+matched whole, in time linear in their hits; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality import bounded_sample
 
@@ -95,7 +100,23 @@ def hits(automaton: ahocorasick.Automaton | None, folded: str) -> list[tuple[int
                 excepted.append((start, end))
         else:
             best[start] = (end, weight)  # a longer entry of the same place comes later
-    return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in excepted)]
+    if not excepted:
+        return [(s, e, w) for s, (e, w) in best.items()]
+    excepted.sort()
+    out, k, reach = [], 0, -1
+    for s in sorted(best):  # the furthest end among the exceptions that begin by here
+        e, w = best[s]
+        while k < len(excepted) and excepted[k][0] <= s:
+            reach = max(reach, excepted[k][1])
+            k += 1
+        if e > reach:
+            out.append((s, e, w))
+    return out
+
+
+def n_words(text: str) -> int:
+    """White-space separated words, one at least."""
+    return max(1, len(text.split()))
 
 
 def measure(automaton: ahocorasick.Automaton | None, text: str) -> tuple[float, float]:
@@ -104,8 +125,7 @@ def measure(automaton: ahocorasick.Automaton | None, text: str) -> tuple[float,
     if not found:
         return 0.0, 0.0
     total = sum(w for _, _, w in found)
-    words = text.count(" ") + text.count("\n") + 1
-    return math.log1p(1000.0 * total / words), math.log1p(total)
+    return math.log1p(1000.0 * total / n_words(text)), math.log1p(total)
 
 
 def _tail(n: int, k: int, p: float) -> float:
@@ -235,14 +255,15 @@ def score(docs: DataFrame, lexicon: Lexicon, carry: tuple[str, ...] = ("doc_id",
                 x1 = x2 = 0.0
                 if found:
                     total = sum(w for _, _, w in found)
-                    x1, x2 = math.log1p(1000.0 * total / (text.count(" ") + text.count("\n") + 1)), math.log1p(total)
+                    x1, x2 = math.log1p(1000.0 * total / n_words(text)), math.log1p(total)
                 out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, c0 + c1 * x1 + c2 * x2)))))
                 number.append(len(found))
                 words.append(sorted({folded[s:e] for s, e, _ in found}))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array(number, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=[*carry, "score", "n_hits", "entries"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").alias("text__")).mapInArrow(run, f"{kinds}, score double, n_hits long, entries array<string>")
+    added = [("score", T.DoubleType()), ("n_hits", T.LongType()), ("entries", T.ArrayType(T.StringType()))]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(n, t) for n, t in added])
+    return docs.select(*carry, F.col("text").alias("text__")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:

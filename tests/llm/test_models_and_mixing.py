@@ -59,6 +59,7 @@ def test_toxicity(labelled):
     assert "zorg" in {e[:4] for e in lex.entries}
     scored = toxicity.score(docs, lex)
     assert accuracy(scored, labels, "toxic", 3, 1) > 0.95
+    assert toxicity.drop_toxic(docs.withColumnRenamed("source", "my lang"), lex).columns[3] == "my lang"
     kept = toxicity.drop_toxic(docs.withColumnRenamed("lang", "score"), lex)
     assert kept.columns[2] == "score" and kept.where("doc_id is null").count() == 1
     empty = toxicity.fit(docs, labels.limit(0), "toxic", F.lit(True))
@@ -263,3 +264,28 @@ def test_pii_bootstrap(documents):
     docs = documents(rows)
     clean = {r.doc_id: r.text for r in pii.redact(docs, pii.find(docs)).collect()}
     assert "user77" not in clean[100] and "[private]" in clean[0] and clean[102] == "order 12345-678 shipped"
+    odd = docs.withColumnsRenamed({"lang": "spans", "source": "my source"})
+    assert pii.redact(odd, pii.find(docs)).columns == odd.columns
+
+
+def test_pii_hidden_seeds_come_back(documents):
+    """Half of the seeds are disguised so that the base misses them; their context brings them back, and nothing else."""
+    rng = random.Random(4)
+    filler = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta 7 x9".split()) for _ in range(rng.randint(3, 9)))
+    rows = [(i, f"{filler()} write to box{i}{'@' if i % 2 else '(at)'}mail.example.org , {filler()}") for i in range(80)]
+    found = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+    back = sum(found[i].n_added for i in range(0, 80, 2))
+    assert back == 40 and sum(r.n_added for r in found.values()) == back and all(found[i].n_email == 1 for i in range(1, 80, 2))
+
+
+def test_pii_secrets_need_a_context(documents):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, f'{word()} {word()} token = "{key()}" {word()}') for i in range(20)] + [(50, f'token = "ab1" {word()}'), (51, f"{word()} {word()} {key()} {word()}")]
+    found = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+    text = dict(rows)[3]
+    at = text.index('"') + 1
+    assert found[3].spans == f"secret:{at}:{at + 40}" and found[3].n_private == 1
+    assert found[50].spans == "" or found[50].spans.startswith("secret:9:")
+    assert found[51].spans == ""
