@@ -7,8 +7,8 @@
 2. Windows. The benchmark's distinct windows are rows with their terms and offsets, and a table of
    their owners. The index's rows of benchmark terms are selected by a semi-join.
 3. The rarest term of a window, by occurrences in the whole index, is found by an aggregate;
-   windows with a term that the index lacks go. Joining the rarest term's rows gives, for each
-   window, the blocks that can hold it: no others ever see it.
+   windows with a term that the index lacks go. Joining the rarest term's rows, and then those of the next
+   rarest (TOLD in all), gives, for each window, the blocks that can hold it: no others ever see it.
 4. In a block, the positions of the rarest term, less its offset, are intersected with the
    offset-adjusted lists of the other terms in order of rarity: exact phrase matches. Proximity
    matches are the positions of the rarest term around which some `n + slop` consecutive words of one
@@ -41,6 +41,8 @@ from .scratch import store
 
 #: Bytes of text in one block of the index.
 BLOCK = 4 << 20
+#: So many of a window's rarest terms are looked up before a block is asked.
+TOLD = 3
 #: Proximity: every term within n + SLOP consecutive words.
 SLOP = 4
 
@@ -187,9 +189,16 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, n: int = 10, slop: int | No
     lists = store(postings.join(wanted, "term", "left_semi"), "lists")
     often = lists.groupBy("term").agg(F.sum("uses").alias("f"))
     placed = windows.select(*key, F.posexplode("terms").alias("i", "term")).join(often, "term", "left")
-    rarest = placed.groupBy(*key).agg(F.min_by("term", F.struct("f", "i")).alias("rare"), F.count_if(F.col("f").isNull()).alias("absent")).where("absent = 0").select(*key, "rare")
-    # the blocks that hold a window's rarest term
-    where = lists.select("block", F.col("term").alias("rare")).join(rarest, "rare").select("block", *key)
+    ranked = placed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("f", "i", "term"))).alias("all"), F.count_if(F.col("f").isNull()).alias("absent")).where("absent = 0")
+    kinds = F.array_distinct(F.transform("all", lambda x: x["term"]))
+    rarest = ranked.select(*key, *[F.get(kinds, j).alias(f"r{j}") for j in range(TOLD)])
+    # the blocks that hold a window's rarest term, and those that follow
+    held = lists.select("block", "term")
+    where = held.withColumnRenamed("term", "r0").join(rarest, "r0")
+    for j in range(1, TOLD):
+        told = where.withColumn("term", F.coalesce(f"r{j}", "r0"))
+        where = told.join(held, ["block", "term"], "left_semi").drop("term")
+    where = where.select("block", *key)
     candidates = where.join(windows, key).select("block", F.lit(2).alias("kind"), "terms", *key)
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     shape = [("term", "long"), ("positions", "binary"), ("terms", "array<long>"), ("w1", "long"), ("w2", "long"), ("ids", T.ArrayType(id_type)), ("at", "array<long>")]

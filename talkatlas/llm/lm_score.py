@@ -67,7 +67,7 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _blocks(batch: pa.RecordBatch, column: int, most: int = 12 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, word starts, ends, rows' first words, word hashes) of blocks of a batch."""
     whole, offs = K.text_buffer(batch.column(column))
     for r0, r1 in K.doc_blocks(offs, most):
@@ -263,12 +263,12 @@ def fit_pieces(kinds: DataFrame, pieces: list[bytes], logp: np.ndarray, rounds:
 
 def text_score(model: np.ndarray, c: np.ndarray, log_pi: np.ndarray, strength: float) -> float:
     """Log probability of a text whose kinds have the log probabilities model (kinds x components) and c uses each."""
-    total = np.log(strength) * len(c) + model.sum(0)
+    total = np.log(strength) * len(c) + model.sum(0, dtype=np.float64)
     again = np.flatnonzero(c > 1)
     n = int(c.sum())
     for a in range(0, len(again), 1 << 12):
         rows = again[a : a + (1 << 12)]
-        base = strength * np.exp(model[rows])
+        base = strength * np.exp(model[rows].astype(np.float64))
         for lo in range(1, int(c[rows].max()), 1 << 12):  # a very frequent word in parts
             own = np.clip(c[rows] - lo, 0, 1 << 12)
             j = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + lo
@@ -323,12 +323,13 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS
     kept = np.maximum(nk, 1)
     spread = np.log(np.where(nk > 0, np.maximum(DISCOUNT * vk, 1e-300) / kept, 1.0))
 
-    def inside(ck: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """known, base, and log probability in each component, of words with these counts."""
-        c = ck.sum(1)
-        model = spread + whole[:, None]
-        row, k = np.nonzero(ck)
-        model[row, k] = np.logaddexp(model[row, k], np.log((ck[row, k] - DISCOUNT) / kept[k]))
+    def inside(own: list[np.ndarray], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """known, base, and log probability in each component, of words with these counts by component."""
+        c = sum(own).astype(np.float64)
+        model = (spread + whole[:, None]).astype(np.float32)
+        for k, ck in enumerate(own):
+            used = np.flatnonzero(ck)
+            model[used, k] = np.logaddexp(model[used, k], np.log((ck[used] - DISCOUNT) / kept[k]))
         return (c > 0).astype(np.int64), np.log10((c + 0.5) / (n + 0.5 * (v + 1))), model
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +348,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = EM_ROUNDS
                     place, *own, whole = (np.concatenate(x) for x in zip(*parts_, strict=True))
                     place = np.argsort(place)
                     own, whole = [x[place] for x in own], whole[place]
-                    tables, parts_ = inside(np.stack(own, axis=1).astype(np.float64), whole.astype(np.float64)), []
+                    tables, parts_ = inside(own, whole), []
                 known, base, model = tables
                 out = [[], [], []]
                 for cell in batch.column(6).slice(a, b - a):
