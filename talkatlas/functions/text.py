@@ -47,7 +47,7 @@ def plain_text(markdown: Column) -> Column:
     """Markdown without fences, inline code, link targets and syntax signs; one space between words."""
     text = F.regexp_replace(markdown, r"(?s)```.*?```", " ")
     text = F.regexp_replace(text, r"`[^`]*`", " ")
-    text = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1")
     text = F.regexp_replace(text, r"[#>*_~|]+", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -61,8 +61,8 @@ def clip_words(text: Column, cap: int) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of 25 to 320 characters."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
+    """Sentences of 25 to 320 characters; a new one begins with a capital or a digit."""
+    parts = F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s).between(25, 320))
 
 

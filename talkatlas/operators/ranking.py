@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkatlas.functions.text import dot, words
 
@@ -140,3 +144,44 @@ def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> Data
     """Mean vector of each group: positions are averaged by partial aggregation."""
     parts = vectors.select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
+def packed_by_size(rows: DataFrame, group: str, size: str, budget: int) -> DataFrame:
+    """group, used, n: what a first-fit walk of each group takes, largest rows first. Rows of one size are
+    counted together, so a group's array has at most budget + 1 entries, whatever its number of rows."""
+    counts = rows.where(F.col(size).between(0, budget)).groupBy(group, size).agg(F.count(F.lit(1)).alias("c"))
+    listed = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).cast("long").alias("o"), "c"))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        one = -x["o"]
+        fits = F.when(one == 0, x["c"]).otherwise(F.least(x["c"], F.floor((F.lit(budget) - acc["used"]) / one)))
+        return F.struct((acc["used"] + fits * one).cast("long").alias("used"), (acc["n"] + fits).cast("long").alias("n"))
+
+    taken = listed.select(group, F.aggregate("all", start, step).alias("p"))
+    every = rows.select(group).distinct().join(taken.withColumnRenamed(group, "g__"), F.col(group).eqNullSafe(F.col("g__")), "left")
+    zero = lambda c: F.coalesce(F.col("p")[c], F.lit(0).cast("long")).alias(c)
+    return every.select(group, zero("used"), zero("n"))
+
+
+def frequent_phrases(rows: DataFrame, key: str, text: str, most: int = 6, boost: float = 2.5) -> DataFrame:
+    """key, term, score: each row's most frequent words (over two signs) and, with a boost, pairs of words used twice,
+    over the best one's count. Counted row by row in Arrow batches: nothing is shuffled."""
+    found = re.compile("[a-z0-9]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, terms, scores = [], [], []
+            for i, cell in enumerate(batch.column(1)):
+                words_ = found.findall((cell.as_py() or "").lower())
+                counts = {w: float(c) for w, c in Counter(words_).items() if len(w) > 2}
+                pairs = Counter(zip(words_, words_[1:]))
+                counts |= {f"{a} {b}": boost * c for (a, b), c in pairs.items() if c > 1}
+                best = heapq.nsmallest(most, counts.items(), key=lambda x: (-x[1], x[0]))
+                at += [i] * len(best)
+                terms += [t for t, _ in best]
+                scores += [c / best[0][1] for _, c in best]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(scores, pa.float64())], names=[key, "term", "score"])
+
+    shape = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.select(key, text).mapInArrow(run, shape)

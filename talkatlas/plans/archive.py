@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkatlas.functions import embed as E
+from talkatlas.functions import stemming
 from talkatlas.functions import text as X
 from talkatlas.functions import topics as T
 from talkatlas.operators import analytics as A
+from talkatlas.operators import index as I
 from talkatlas.operators import lifecycle as L
 from talkatlas.operators import ranking as R
 from talkatlas.operators import scope as S
 from talkatlas.plans.rules import RANKED_CAP, Rule
 from talkatlas.sources.canonical import chunks as chunk_windows
 
+_INDEXED = ("content", "title", "tags")
+
 
 @dataclass
 class Archive:
@@ -31,6 +35,7 @@ class Archive:
     disabled: tuple[str, ...] = ()
     dim: int = E.DIM
     tombstones: DataFrame | None = field(default=None)
+    index: I.Index | None = field(default=None)
 
     @classmethod
     def build(cls, sessions: DataFrame, dim: int = E.DIM, most: int = 40, disabled: tuple[str, ...] = ()) -> Archive:
@@ -70,18 +75,40 @@ class Archive:
 
     # --- search -----------------------------------------------------------------------
 
-    def _lanes(self, query: str, mode: str, within: DataFrame, n: int) -> DataFrame:
-        """chunk_id and fused score of the chunks of `within` (frame of session ids)."""
+    def _indexed_texts(self) -> DataFrame:
+        """chunk_id, content, title, tags (joined by blanks): what the keyword index holds of each chunk."""
+        tags = self.tags.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("tags"))
+        titles = self.sessions.select(F.col("id").alias("session_id"), "title").join(tags, "session_id", "left")
+        return self.chunks.join(titles, "session_id").select("chunk_id", "content", "title", "tags")
+
+    def indexed(self, path: str) -> Archive:
+        """With a stemmed keyword index of content, titles and tags, written at path (or found there). Mutations
+        of chunks, titles or tags want a new path."""
+        return replace(self, index=I.write(self._indexed_texts(), "chunk_id", list(_INDEXED), path, "stemmed"))
+
+    def _keyword(self, query: str, within: DataFrame | None, content_only: bool) -> DataFrame:
+        """chunk_id and score; without an index each call reads all texts."""
+        match = ["content"] if content_only else None
+        if self.index is not None:
+            return self.index.bm25(query, within, match)
+        return stemming.stemmed_bm25(self._indexed_texts(), query, "chunk_id", list(_INDEXED), within=within, match=match)
+
+    def _ranked_lanes(self, query: str, mode: str, within: DataFrame, n: int, content_only: bool = False) -> list[DataFrame]:
+        """Ranked chunks (chunk_id, rank) of `within` (frame of sessions) by words and by vectors, as the mode has it.
+        The scope comes before the cut: a chunk outside it takes no place."""
         ids = within.select(F.col("id").alias("session_id"))
         lanes = []
         if mode in ("hybrid", "keyword"):
-            titled = self.chunks.join(self.sessions.select(F.col("id").alias("session_id"), "title"), "session_id")
             allowed = self.chunks.join(ids, "session_id", "left_semi").select("chunk_id")
-            lanes.append(R.bm25(titled, query, "chunk_id", ["content", "title"], within=allowed))
+            lanes.append(self._keyword(query, allowed, content_only))
         if mode in ("hybrid", "semantic"):
             own = self.vectors.join(ids, "session_id", "left_semi")
             lanes.append(R.nearest(own, E.vector(query, self.dim).tolist(), "chunk_id"))
-        return R.fuse([R.ranked(x, "score", "chunk_id", n) for x in lanes], "chunk_id")
+        return [R.ranked(x, "score", "chunk_id", n) for x in lanes]
+
+    def _lanes(self, query: str, mode: str, within: DataFrame, n: int) -> DataFrame:
+        """chunk_id and fused score of the chunks of `within`."""
+        return R.fuse(self._ranked_lanes(query, mode, within, n), "chunk_id")
 
     def search(self, query: str, mode: str = "hybrid", limit: int = 30, sort: str = "recent", **scope) -> DataFrame:
         """Sessions by their best chunk: the session's columns, score (1 for the best) and snippet."""
@@ -99,16 +126,19 @@ class Archive:
     def passages(self, query: str, limit: int = 40, per_session: int = 3, recency: str = "none", recent_sessions: int = 20, mode: str = "hybrid", **scope) -> DataFrame:
         """Chunks for answering: capped a session; with recency a further lane over the newest sessions."""
         within = self.scoped(**scope)
-        scored = self._lanes(query, mode, within, limit * R.OVER_FETCH)
+        n = limit * R.OVER_FETCH
+        lanes = self._ranked_lanes(query, mode, within, n, content_only=True)
         if recency != "none":
             newest = within.orderBy(S.effective().desc_nulls_last(), "id").limit(recent_sessions)
-            lane = self._lanes(query, mode, newest, limit * R.OVER_FETCH)
-            scored = R.fuse([R.ranked(scored, "score", "chunk_id", limit * R.OVER_FETCH), R.ranked(lane, "score", "chunk_id", limit * R.OVER_FETCH)], "chunk_id")
+            recent = R.fuse(self._ranked_lanes(query, mode, newest, n, content_only=True), "chunk_id")
+            lanes.append(R.ranked(recent, "score", "chunk_id", 2 * n))
+        scored = R.fuse(lanes, "chunk_id")
         hits = scored.join(self.chunks, "chunk_id").join(within.select(F.col("id").alias("session_id"), S.effective().alias("at")), "session_id")
         order = [F.desc("score"), F.asc("chunk_id")]
-        picked = R.cap_per_group(hits, "session_id", order, per_session)
-        first = [F.desc_nulls_last("at"), *order] if recency == "latest" else order
-        return picked.orderBy(*order).limit(limit).orderBy(*first)
+        if recency == "latest":  # time comes before the cap and the limit
+            order = [F.desc_nulls_last("at"), *order]
+        picked = R.cap_per_group(hits, "session_id", order, per_session).orderBy(*order).limit(limit)
+        return R.normalised(picked).orderBy(*order)
 
     def related(self, session_id: str, limit: int = 8) -> DataFrame:
         """Other visible sessions by their best chunk's likeness to the session's mean vector."""
@@ -129,7 +159,8 @@ class Archive:
         if not rule.q:
             return rows.select("id"), False
         if not rule.ranked:
-            hit = R.keyword_matches(self.chunks, rule.q, "content").select(F.col("session_id").alias("id")).distinct()
+            found = self.index.matches(rule.q) if self.index is not None else self._keyword(rule.q, None, False)
+            hit = self.chunks.join(found, "chunk_id", "left_semi").select(F.col("session_id").alias("id")).distinct()
             return rows.join(hit, "id", "left_semi").select("id"), False
         scored = self._lanes(rule.q, rule.mode, rows, (RANKED_CAP + 1) * R.OVER_FETCH).join(self.chunks.select("chunk_id", "session_id"), "chunk_id")
         per = scored.groupBy(F.col("session_id").alias("id")).agg(F.max("score").alias("score"))
@@ -175,8 +206,13 @@ class Archive:
         gone = self.sessions.where(F.col("id").isin(ids)).select("id", "source", "content_hash")
         buried = gone if self.tombstones is None else self.tombstones.unionByName(gone)
         keep = lambda df, key: df.where(~F.col(key).isin(ids))
-        return replace(self, sessions=keep(self.sessions, "id"), chunks=keep(self.chunks, "session_id"), vectors=keep(self.vectors, "session_id"), tags=keep(self.tags, "session_id"), tombstones=buried)
+        return replace(self, sessions=keep(self.sessions, "id"), chunks=keep(self.chunks, "session_id"), vectors=keep(self.vectors, "session_id"), tags=keep(self.tags, "session_id"), tombstones=buried, index=None)
 
     def tag(self, session_id: str, name: str) -> Archive:
         new = self.tags.sparkSession.createDataFrame([(session_id, name, 100.0, 1)], "session_id string, tag string, score double, manual int").withColumn("tag", X.normalise_tag(F.col("tag")))
-        return replace(self, tags=L.upsert(self.tags, new.select(self.tags.columns), ["session_id", "tag"]))
+        return replace(self, tags=L.upsert(self.tags, new.select(self.tags.columns), ["session_id", "tag"]), index=None)
+
+    def untag(self, session_id: str, name: str) -> Archive:
+        """Without the tag; the index is made anew at need, so that it doesn't find the session by it."""
+        clean = X.normalise_tag(F.lit(name))
+        return replace(self, tags=self.tags.where(~((F.col("session_id") == session_id) & (F.col("tag") == clean))), index=None)

@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 from talkatlas.functions import text as X
 from talkatlas.operators import analytics as A
+from talkatlas.operators import index as I
 from talkatlas.operators import lifecycle as L
 from talkatlas.operators import ranking as R
 from talkatlas.operators import scope as S
+from talkatlas.plans import ask as Q
+from talkatlas.plans import collections as C
 from talkatlas.session import table
+from talkatlas.streaming import sync as Y
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,7 +384,7 @@ def _(s, d):
 
 @query(
     "plain_text",
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#>*_~|]+', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages""",
+    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[#>*_~|]+', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages""",
 )
 def _(s, d):
     return table(s, d, "pages").select("page_id", X.plain_text(F.col("html")).alias("plain"))
@@ -411,12 +415,7 @@ def _(s, d):
     SELECT doc_id, term, round(c / m, 3) AS score FROM r WHERE rn <= 6""",
 )
 def _(s, d):
-    w = table(s, d, "documents").select("doc_id", F.explode(F.array(X.words(F.col("text")))).alias("w"))
-    uni = w.select("doc_id", F.explode("w").alias("term")).where(F.length("term") > 2).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    bi = w.select("doc_id", F.explode(X.bigrams(F.col("w"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id", "term", (F.col("n") * 2.5).alias("c"))
-    raw = uni.unionByName(bi)
-    kept = R.cap_per_group(raw, "doc_id", [F.desc("c"), F.asc("term")], 6)
-    return kept.withColumn("score", F.round(F.col("c") / F.max("c").over(Window.partitionBy("doc_id")), 3)).select("doc_id", "term", "score")
+    return R.frequent_phrases(table(s, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 3))
 
 
 @query("jaccard_pairs", f"WITH w AS (SELECT item_id, list_distinct({_WORDS.format('text')}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON b.item_id = a.item_id + 1")
@@ -478,31 +477,31 @@ def _bm25_sql(query: str, match: str = "w", where: str = "true", n: int = 20) ->
     SELECT doc_id, round({score}, 6) AS score FROM c, s WHERE ({any_hit}) AND {where} ORDER BY {score} DESC, doc_id LIMIT {n})"""
 
 
-def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "source", "text")
+def _index(s: SparkSession, d: str) -> I.Index:
+    """The documents' index: written at first use, kept under the files' fingerprint, asked by every search query."""
+    return I.of_table(table(s, d, "documents"), "doc_id", ["text", "source"])
 
 
 @query("keyword_match_ids", f"SELECT doc_id FROM documents WHERE len(list_filter({_WORDS.format('text')}, lambda x: starts_with(x, 'anon') OR starts_with(x, 'est'))) > 0")
 def _(s, d):
-    return R.keyword_matches(_docs(s, d), _Q).select("doc_id")
+    return _index(s, d).matches(_Q, ["text"])
 
 
 @query("bm25_topk", f"SELECT * FROM {_bm25_sql(_Q, 'list_concat(w, v)')}")
 def _(s, d):
-    scored = R.bm25(_docs(s, d), _Q, "doc_id", ["text", "source"])
-    return R.top(scored, "score", "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+    return R.top(_index(s, d).bm25(_Q), "score", "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_content_only", f"SELECT * FROM {_bm25_sql(_Q + ' src3')}")
 def _(s, d):
-    scored = R.bm25(_docs(s, d), _Q + " src3", "doc_id", ["text", "source"], match=["text"])
+    scored = _index(s, d).bm25(_Q + " src3", match=["text"])
     return R.top(scored, "score", "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_scoped", f"SELECT * FROM {_bm25_sql(_Q, where=chr(39).join(['source IN (', 'src3', ', ', 'src4', ')']))}")
 def _(s, d):
-    docs = _docs(s, d)
-    scored = R.bm25(docs, _Q, "doc_id", ["text", "source"], within=docs.where("source in ('src3', 'src4')"), match=["text"])
+    within = table(s, d, "documents").where("source in ('src3', 'src4')")
+    scored = _index(s, d).bm25(_Q, within, ["text"])
     return R.top(scored, "score", "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -552,7 +551,7 @@ _FUSED = f"""(SELECT doc_id, sum(1.0 / (60 + r)) AS score FROM (SELECT doc_id, r
 
 
 def _fused(s: SparkSession, d: str) -> DataFrame:
-    lexical = R.bm25(_docs(s, d), _Q, "doc_id", ["text", "source"]).withColumn("score", F.round("score", 6))
+    lexical = _index(s, d).bm25(_Q).withColumn("score", F.round("score", 6))
     semantic = R.nearest(table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _vector(s, d, 7), "doc_id")
     return R.fuse([R.ranked(x, "score", "doc_id", 30 * R.OVER_FETCH) for x in (lexical, semantic)], "doc_id")
 
@@ -733,17 +732,73 @@ def _(s, d):
     return per.select("conv_id", F.when(F.length(text) > 380, F.concat(X.clip_words(text, 377), F.lit("..."))).otherwise(text).alias("summary"))
 
 
-@query("greedy_pack")
+@query(
+    "greedy_pack",
+    """WITH RECURSIVE o AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+    p(source, r, used, n) AS (SELECT source, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT DISTINCT source FROM documents) UNION ALL
+    SELECT p.source, o.r, CASE WHEN used + n_chars <= 16384 THEN used + n_chars ELSE used END, CASE WHEN used + n_chars <= 16384 THEN n + 1 ELSE n END
+    FROM p JOIN o ON o.source IS NOT DISTINCT FROM p.source AND o.r = p.r + 1)
+    SELECT source, max(used) AS used, max(n) AS n FROM p GROUP BY source""",
+)
 def _(s, d):
-    docs = table(s, d, "documents").select("source", "doc_id", "n_chars")
-    ordered = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("o"), "doc_id", "n_chars"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    return R.packed_by_size(table(s, d, "documents"), "source", "n_chars", 16384)
+
+
+# --- evidence, collections and synchronising -----------------------------------------------
+
+_HITS = "(SELECT vec_id AS chunk_id, label AS session_id, CASE WHEN vec_id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role, CAST(vec_id % 7 AS VARCHAR) AS content, CAST(vec_id % 50 AS DOUBLE) AS score, CASE WHEN vec_id % 4 > 0 THEN CAST(vec_id % 21 AS DOUBLE) - 15 END AS rerank FROM embeddings)"
+
+
+def _hits(s: SparkSession, d: str) -> DataFrame:
+    v = F.col("vec_id")
+    return table(s, d, "embeddings").select(
+        v.alias("chunk_id"), F.col("label").alias("session_id"), F.when(v % 3 == 0, "user").otherwise("assistant").alias("role"), (v % 7).cast("string").alias("content"),
+        (v % 50).cast("double").alias("score"), F.when(v % 4 > 0, (v % 21).cast("double") - 15).alias("rerank"),
+    )
+
+
+@query("relevance_floor", f"SELECT chunk_id, rerank FROM {_HITS} WHERE rerank IS NULL OR rerank >= -8")
+def _(s, d):
+    return Q.relevant(_hits(s, d)).select("chunk_id", "rerank")
+
+
+@query("rerank_order", f"SELECT chunk_id, row_number() OVER (ORDER BY rerank DESC NULLS LAST, score DESC, chunk_id) AS place FROM {_HITS} WHERE (rerank IS NULL OR rerank >= -8) AND session_id < 4")
+def _(s, d):
+    hits = _hits(s, d).where("session_id < 4")
+    return Q.reranked(hits.drop("rerank"), "chunk_id", lambda rows: hits.where("rerank is not null").select("chunk_id", "rerank")).select("chunk_id", F.col("order").cast("long").alias("place"))
 
-    def step(acc, x):
-        fits = acc["used"] + x["n_chars"] <= 16384
-        return F.struct((acc["used"] + F.when(fits, x["n_chars"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(acc["ids"], x["doc_id"])).otherwise(acc["ids"]).alias("ids"))
 
-    return ordered.select("source", F.aggregate("all", start, step).alias("p")).select("source", "p.used", F.size("p.ids").cast("long").alias("n"))
+@query("distinct_passages", f"SELECT session_id, role, content, max(score) AS score FROM {_HITS} GROUP BY ALL")
+def _(s, d):
+    return Q.distinct_passages(_hits(s, d)).select("session_id", "role", "content", "score")
+
+
+@query("best_sessions", f"SELECT session_id, max(coalesce(rerank, score)) AS score FROM {_HITS} GROUP BY session_id ORDER BY score DESC, session_id LIMIT 5")
+def _(s, d):
+    return Q.best_sessions(_hits(s, d), 5)
+
+
+@query("collection_overlap", f"WITH a AS (SELECT doc_id FROM {_MEMBERS}), b AS (SELECT doc_id FROM documents WHERE lang = 'en') SELECT (SELECT count(*) FROM a) AS first, (SELECT count(*) FROM b) AS second, (SELECT count(*) FROM a JOIN b USING (doc_id)) AS shared, round((SELECT count(*) FROM a JOIN b USING (doc_id)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 6) AS similarity")
+def _(s, d):
+    docs = table(s, d, "documents").select("doc_id", "source", "lang")
+    state = F.when(F.col("doc_id") % 7 == 3, "exclude").when(F.col("doc_id") % 101 == 7, "include")
+    own = L.members(docs.where("source = 'src2'"), docs.select("doc_id", state.alias("state")), docs, "doc_id")
+    ids = lambda df: df.select(F.col("doc_id").alias("id"))
+    out = C.overlap(ids(own), ids(docs.where("lang = 'en'")))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("sync_changed_files", "SELECT doc_id AS path FROM documents WHERE doc_id % 5 = 0 OR doc_id % 6 = 1")
+def _(s, d):
+    found = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit(0).alias("changed_at"))
+    stored = found.where("path % 5 <> 0").withColumn("size", F.when(F.col("path") % 6 == 1, F.col("size") + 1).otherwise(F.col("size")))
+    return Y.changed_files(found, stored).select("path")
+
+
+@query("sync_vanished_files", "SELECT doc_id AS path FROM documents WHERE doc_id % 8 = 3")
+def _(s, d):
+    stored = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"))
+    return Y.vanished_files(stored.where("path % 8 <> 3"), stored).select("path")
 
 
 # --- event-time extensions (no counterpart in the archive's own engine) ---------------------
