@@ -12,7 +12,8 @@ from talkatlas.operators import scope as S
 from talkatlas.plans.archive import Archive
 
 FILE_LIMIT = LINK_LIMIT = ATTACHMENT_LIMIT = 200
-SHELLS = ("bash", "bat", "cmd", "console", "fish", "powershell", "ps1", "sh", "shell", "terminal", "zsh")
+# Fixed value: names of shells in code fences.
+SHELLS = ("bash", "sh", "shell", "shellscript", "zsh", "console", "shell-session", "sh-session", "shellsession", "powershell", "ps1")
 
 
 def _size(turn: Column) -> Column:
