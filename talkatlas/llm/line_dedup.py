@@ -59,6 +59,10 @@ def _words(line: Column) -> Column:
     return _let(low, cut)
 
 
+def _has_words(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\r\f\x0b")) != ""
+
+
 def _lower(text: Column) -> Column:
     """A-Z only; a text without capitals beyond ASCII takes the fast way."""
     plain = F.lower(text)
@@ -76,8 +80,9 @@ def _word_hashes(line: Column) -> Column:
 def rarity_classes(docs: DataFrame) -> list[int]:
     """For each of 2**SKETCH buckets of word hashes, the power of two of its count over all
     texts: 0 for the rarest. A fixed size, whatever the corpus."""
-    lines = docs.select(F.explode(F.split(_lower(F.col("text")), "\n")).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    # explode_outer: explode makes the optimizer add a filter that cuts the text once more
+    lines = docs.select(F.explode_outer(F.split(_lower(F.col("text")), "\n")).alias("line"))
+    words = lines.select(F.explode_outer(F.split("line", " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
     out = [0] * (1 << SKETCH)
     for r in counts:
@@ -110,7 +115,9 @@ def _prefix_size(n: Column, percent: int) -> Column:
 def _line_table(keyed: DataFrame, percent: int) -> DataFrame:
     """k, th, no, c1, c2 (identity of the words), n (number of tokens), head (their prefix) of every line with words."""
     classes = F.split(F.lit(",".join(map(str, rarity_classes(keyed)))), ",").cast("array<tinyint>")
-    lines = keyed.select("k", "th", F.posexplode(F.split(_lower(F.col("text")), "\n")).alias("no", "line"))
+    # lines without words go by a test of the line itself: a filter on what is described below would be
+    # pushed under it and describe every line twice
+    lines = keyed.select("k", "th", F.posexplode_outer(F.split(_lower(F.col("text")), "\n")).alias("no", "line")).where(_has_words(F.col("line")))
 
     def prefix(items: Column) -> Column:
         # a line of fewer words than a token has only equal lines
@@ -121,7 +128,7 @@ def _line_table(keyed: DataFrame, percent: int) -> DataFrame:
         lambda h: F.struct(F.size(h).alias("size"), F.xxhash64(h).alias("c1"), F.xxhash64(F.lit(1), h).alias("c2"), _let(_tokens(h, SHINGLE, classes), prefix).alias("p")),
     )
     none = F.array().cast("array<bigint>")
-    return lines.select(*_ID, described.alias("x")).where("x.size > 0").select(*_ID, "x.c1", "x.c2", "x.p.n", F.when(F.col("x.size") >= SHINGLE, F.col("x.p.head")).otherwise(none).alias("head"))
+    return lines.select(*_ID, described.alias("x")).select(*_ID, "x.c1", "x.c2", "x.p.n", F.when(F.col("x.size") >= SHINGLE, F.col("x.p.head")).otherwise(none).alias("head"))
 
 
 def _shared_tokens(table: DataFrame) -> DataFrame:
@@ -175,7 +182,7 @@ def _sets(asked: DataFrame) -> DataFrame:
     a text is cut once. A token flips one bit, so two lines' bits differ in no more
     places than their token sets in tokens."""
     lines = _let(F.split(_lower(F.col("text")), "\n"), lambda own: F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get(own, a["no"]).alias("line"))))
-    each = asked.select(F.explode(lines).alias("x"))
+    each = asked.select(F.explode_outer(lines).alias("x"))
     sets = each.select("x.id", _let(_word_hashes(F.col("x.line")), lambda h: _tokens(h)).alias("items"))
 
     def bits(high: int) -> Column:
