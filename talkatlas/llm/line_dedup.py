@@ -205,11 +205,13 @@ def _judge(docs: DataFrame, percent: int, digest: bool) -> DataFrame:
     table = store(_line_table(keyed, percent), "lines")
     own = F.struct(*_ID)
     classes = table.groupBy("c1", "c2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("c"))
-    later = table.drop("head", "n").join(classes.where("c > 1"), ["c1", "c2"]).where(own != F.col("first")).groupBy("k", "th").agg(F.collect_set("no").alias("later"))
+    copies = table.drop("head", "n").join(classes.where("c > 1"), ["c1", "c2"]).where(own != F.col("first"))
+    later = store(copies.groupBy("k", "th").agg(F.collect_set("no").alias("later")), "later")
     shared = store(_shared_tokens(table), "shared")
     # candidates get dense numbers in the order of their places: short keys for what follows
     found = classes.join(shared.select("c1").distinct(), "c1").select("c1", "first.k", "first.th", "first.no")
     numbered = store(found.orderBy("k", "th", "no").withColumn("id", F.monotonically_increasing_id()), "numbered")
+    drop(table)  # before the texts are shuffled
     asked = numbered.groupBy("k", "th").agg(F.collect_list(F.struct("no", "id")).alias("asked"))
     marked = keyed.join(later.join(asked, ["k", "th"], "full"), ["k", "th"], "left")
     none = F.array().cast("array<int>")
@@ -225,7 +227,7 @@ def _judge(docs: DataFrame, percent: int, digest: bool) -> DataFrame:
     first = [F.when(~is_open, c).alias(n) for c, n in zip(verdict(gone), ("n_lines", "n_removed", "done"), strict=True)]
     # a document without candidate lines is finished here; only the others' texts go on
     split = store(marked.select("row", "k", "th", *first, F.when(is_open, F.col("text")).alias("text"), "later", "asked"), "split")
-    drop(table)
+    drop(later)
     open_ = split.where(is_open).select("row", "k", "th", "text", "later", "asked")
     sets = store(_sets(open_), "sets")
     prefix = store(shared.join(numbered.select("c1", "id"), "c1").join(sets.select("id", "b0", "b1"), "id").select("item", *_ROW).distinct(), "prefix")
