@@ -134,8 +134,11 @@ def _line_table(keyed: DataFrame, percent: int) -> DataFrame:
 def _shared_tokens(table: DataFrame) -> DataFrame:
     """item, c1, n, pos: the prefix tokens that two different lines or more have."""
     rows = table.select("c1", "n", F.posexplode("head").alias("pos", "item"))
+    # n and pos go through the shuffle as one number
+    rows = rows.select("item", "c1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     shared = rows.groupBy("item").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("item")
-    return rows.join(shared, "item").select("item", "c1", "n", "pos").distinct()
+    kept = rows.join(shared, "item").select("item", "c1", "at").distinct()
+    return kept.select("item", "c1", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
 
 def _fits(x: str, y: str, percent: int) -> Column:
