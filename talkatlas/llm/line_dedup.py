@@ -181,18 +181,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(asked: DataFrame) -> DataFrame:
-    """id, items, and 128 parity bits b0 and b1 of the asked lines (numbers and ids by document);
-    a text is cut once. A token flips one bit, so two lines' bits differ in no more
-    places than their token sets in tokens."""
+    """id and items of the asked lines (numbers and ids by document); a text is cut once."""
     lines = _let(F.split(_lower(F.col("text")), "\n"), lambda own: F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get(own, a["no"]).alias("line"))))
     each = asked.select(F.explode_outer(lines).alias("x"))
-    sets = each.select("x.id", _let(_word_hashes(F.col("x.line")), lambda h: _tokens(h)).alias("items"))
+    return each.select("x.id", _let(_word_hashes(F.col("x.line")), lambda h: _tokens(h)).alias("items"))
 
-    def bits(high: int) -> Column:
-        own = F.filter("items", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) == high)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda b, t: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return sets.select("id", "items", bits(0).alias("b0"), bits(1).alias("b1"))
+def _bits(sets: DataFrame) -> DataFrame:
+    """id and 128 parity bits b0 and b1 of its tokens. A token flips one bit, so two lines' bits
+    differ in no more places than their token sets in tokens. A line's tokens are in one task: one
+    row a line is shuffled."""
+    flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").bitwiseAND(F.lit(63)).cast("int"))
+    high = F.shiftright("t", 6).bitwiseAND(F.lit(1)) == 1
+    none = F.lit(0).cast("long")
+    each = sets.select("id", F.explode("items").alias("t"))
+    return each.groupBy("id").agg(F.bit_xor(F.when(high, none).otherwise(flip)).alias("b0"), F.bit_xor(F.when(high, flip).otherwise(none)).alias("b1"))
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -233,7 +236,7 @@ def _judge(docs: DataFrame, percent: int, digest: bool) -> DataFrame:
     drop(later)
     open_ = split.where(is_open).select("row", "k", "th", "text", "later", "asked")
     sets = store(_sets(open_), "sets")
-    prefix = store(shared.join(numbered.select("c1", "id"), "c1").join(sets.select("id", "b0", "b1"), "id").select("item", *_ROW).distinct(), "prefix")
+    prefix = store(shared.join(numbered.select("c1", "id"), "c1").join(_bits(sets), "id").select("item", *_ROW).distinct(), "prefix")
     drop(shared)
     led = store(_led(prefix, percent), "led")
     matched = store(_verified(led, sets, percent), "matched")
