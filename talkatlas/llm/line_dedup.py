@@ -47,26 +47,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _words(line: Column) -> Column:
-    """Words, A-Z lower-cased; the costlier clean-up only where a line needs it."""
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
-    low = F.when(odd, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line)
-
-    def cut(x: Column) -> Column:
-        gaps = (x == "") | F.contains(x, F.lit("  ")) | F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" "))
-        return F.when(gaps, F.array_remove(F.split(x, " "), "")).otherwise(F.split(x, " "))
-
-    return _let(low, cut)
-
-
-def _has_words(line: Column) -> Column:
-    return F.ltrim(line, F.lit(" \t\r\f\x0b")) != ""
-
-
-def _lower(text: Column) -> Column:
-    """A-Z only; a text without capitals beyond ASCII takes the fast way."""
-    plain = F.lower(text)
-    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+def _folded(docs: DataFrame) -> DataFrame:
+    """docs with text folded for comparison: A-Z lower-cased, the words of a line parted by single spaces, as many lines
+    as before. The costlier clean-up only where a text needs it."""
+    text = F.col("text")
+    # of bytes as Latin-1, lower() changes A-Z and some first bytes of UTF-8 sequences; as it keeps the bytes
+    # that follow, and a first byte tells how many do, different texts stay different
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.lower(F.decode(text.cast("binary"), "ISO-8859-1")))
+    docs = docs.withColumn("text", low)
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\f")) | F.contains(text, F.lit("\x0b"))
+    docs = docs.withColumn("text", F.when(odd, F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text))
+    gaps = F.contains(text, F.lit("  ")) | F.contains(text, F.lit(" \n")) | F.contains(text, F.lit("\n ")) | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    single = F.trim(F.regexp_replace(F.regexp_replace(text, " {2,}", " "), " ?\n ?", "\n"))
+    return docs.withColumn("text", F.when(gaps, single).otherwise(text))
 
 
 def _bucket(h: Column) -> Column:
@@ -74,15 +67,16 @@ def _bucket(h: Column) -> Column:
 
 
 def _word_hashes(line: Column) -> Column:
-    return F.transform(_words(line), lambda w: F.xxhash64(w))
+    """Of a folded line."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
 def rarity_classes(docs: DataFrame) -> list[int]:
     """For each of 2**SKETCH buckets of word hashes, the power of two of its count over all
     texts: 0 for the rarest. A fixed size, whatever the corpus."""
     # explode_outer: explode makes the optimizer add a filter that cuts the text once more
-    lines = docs.select(F.explode_outer(F.split(_lower(F.col("text")), "\n")).alias("line"))
-    words = lines.select(F.explode_outer(F.split("line", " ")).alias("w")).where("w <> ''")
+    flat = _folded(docs.select("text")).select(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
+    words = flat.select(F.explode_outer(F.split("text", " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
     out = [0] * (1 << SKETCH)
     for r in counts:
@@ -117,7 +111,8 @@ def _line_table(keyed: DataFrame, percent: int) -> DataFrame:
     classes = F.split(F.lit(",".join(map(str, rarity_classes(keyed)))), ",").cast("array<tinyint>")
     # lines without words go by a test of the line itself: a filter on what is described below would be
     # pushed under it and describe every line twice
-    lines = keyed.select("k", "th", F.posexplode_outer(F.split(_lower(F.col("text")), "\n")).alias("no", "line")).where(_has_words(F.col("line")))
+    folded = _folded(keyed.select("k", "th", "text"))
+    lines = folded.select("k", "th", F.posexplode_outer(F.split("text", "\n")).alias("no", "line")).where("line <> ''")
 
     def prefix(items: Column) -> Column:
         # a line of fewer words than a token has only equal lines
@@ -132,11 +127,13 @@ def _line_table(keyed: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_tokens(table: DataFrame) -> DataFrame:
-    """item, c1, n, pos: the prefix tokens that two different lines or more have."""
+    """item, c1, n, pos: the prefix tokens that two different lines or more have. These are found and stored first, so
+    that the shuffle which counts is gone before the tokens are shuffled with what else they carry."""
+    each = table.select(F.explode("head").alias("item"), "c1")
+    shared = store(each.groupBy("item").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("item"), "twice")
     rows = table.select("c1", "n", F.posexplode("head").alias("pos", "item"))
     # n and pos go through the shuffle as one number
     rows = rows.select("item", "c1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
-    shared = rows.groupBy("item").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("item")
     kept = rows.join(shared, "item").select("item", "c1", "at").distinct()
     return kept.select("item", "c1", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
@@ -182,8 +179,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(asked: DataFrame) -> DataFrame:
     """id and items of the asked lines (numbers and ids by document); a text is cut once."""
-    lines = _let(F.split(_lower(F.col("text")), "\n"), lambda own: F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get(own, a["no"]).alias("line"))))
-    each = asked.select(F.explode_outer(lines).alias("x"))
+    own = _folded(asked.select("text", "asked")).select(F.split("text", "\n").alias("own"), "asked")
+    each = own.select(F.explode_outer(F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get("own", a["no"]).alias("line")))).alias("x"))
     return each.select("x.id", _let(_word_hashes(F.col("x.line")), lambda h: _tokens(h)).alias("items"))
 
 
